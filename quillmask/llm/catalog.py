@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprint, url_filter
+from . import bpe, chat_format, fingerprint, quality, simhash, toxicity, url_filter
+from ._base import crc_mod
 
 #: The rules that op8 is given: host, path, verdict.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -29,10 +30,22 @@ def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)} AS t({columns})")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_mod("doc_id", 4) == 2
+    model = toxicity.fit(docs.where(~held), table(spark, sf_dir, "labels"))
+    scores = toxicity.scores(docs, model)
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = values(spark, "conv_id, turn, role, text", [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)])
@@ -44,6 +57,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), values(spark, "host, path, verdict", list(URL_RULES)))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -79,5 +97,5 @@ hits AS (
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, 'allow') AS verdict FROM hits WHERE n = 1
 """
 
-QUERIES = {f.__name__: f for f in (op5_fingerprint, op7_chat_format, op8_url_filter, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op5_fingerprint, op6_simhash, op7_chat_format, op8_url_filter, op9_quality, op10_bpe)}
 ORACLES = {"op7_chat_format": OP7_SQL, "op8_url_filter": OP8_SQL}
