@@ -80,10 +80,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
-    """Rates in the order of the forest's dimensions, in steps of a twentieth, so that a stray sign makes no text rare; a text without words has zeros."""
+    """Rates in the order of the forest's dimensions, in steps of a fifth, so that a few signs or chance echoes make no text rare; a text without words has zeros."""
     w = np.maximum(c["n_words"], 1)
     rates = (c["n_symbols"] / w, c["n_caps"] / w, c["n_marks"] / w, c["n_echoes"] / w)
-    return np.round(np.column_stack(rates).astype(float) * 20) / 20
+    return np.round(np.column_stack(rates).astype(float) * 5) / 5
 
 
 def _expected(n: float) -> float:
