@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprint, quality, simhash, toxicity, url_filter
+from . import bpe, chat_format, fingerprint, line_dedup, packing, quality, simhash, toxicity, url_filter
 from ._base import crc_mod
 
 #: The rules that op8 is given: host, path, verdict.
@@ -30,6 +30,10 @@ def values(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)} AS t({columns})")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod("doc_id", 4) == 2
@@ -38,6 +42,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -97,5 +105,5 @@ hits AS (
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, 'allow') AS verdict FROM hits WHERE n = 1
 """
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op5_fingerprint, op6_simhash, op7_chat_format, op8_url_filter, op9_quality, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op4_packing, op5_fingerprint, op6_simhash, op7_chat_format, op8_url_filter, op9_quality, op10_bpe)}
 ORACLES = {"op7_chat_format": OP7_SQL, "op8_url_filter": OP8_SQL}
