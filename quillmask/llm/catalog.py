@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprint, line_dedup, packing, quality, simhash, toxicity, url_filter
+from . import bpe, chat_format, fingerprint, line_dedup, lm_score, packing, quality, simhash, toxicity, url_filter
 from ._base import crc_mod
 
 #: The rules that op8 is given: host, path, verdict.
@@ -42,6 +42,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_mod("doc_id", 10) == 0
+    scores = lm_score.score(table(spark, sf_dir, "documents"), ~held)
+    return scores.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -105,5 +111,5 @@ hits AS (
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, 'allow') AS verdict FROM hits WHERE n = 1
 """
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op4_packing, op5_fingerprint, op6_simhash, op7_chat_format, op8_url_filter, op9_quality, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_lm_score, op4_packing, op5_fingerprint, op6_simhash, op7_chat_format, op8_url_filter, op9_quality, op10_bpe)}
 ORACLES = {"op7_chat_format": OP7_SQL, "op8_url_filter": OP8_SQL}
