@@ -12,7 +12,7 @@ Only hashes and word counts of lines are shuffled for the search; texts are shuf
 
 Defined cases: null and empty texts come back as empty texts; lines without words are equal to each other and count no words;
 white space around a line doesn't matter to its hash; passages within one document stay; repeated rows with one doc_id are
-edited alike and aren't compared with each other; rows with null ids are returned as they are; an empty table gives an
+edited alike and aren't compared with each other; rows with null ids are returned as they are (a null text as an empty one); an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._base import cut, ship, texts
 
@@ -183,21 +184,27 @@ def deletions(docs: DataFrame, min_words: int = 50, rare: int = 64) -> DataFrame
     return aligned.select("doc_id", F.explode("gone").alias("line")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, rare: int = 64) -> DataFrame:
-    """doc_id, text (edited), n_lines, n_deleted for every row."""
-    rows = texts(docs, id_col, text_col)
-    gone = deletions(rows, min_words, rare)
+def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, rare: int = 64) -> DataFrame:
+    """docs with all their columns, the text (null: empty) edited, and _n_lines, _n_deleted."""
+    gone = deletions(texts(docs, id_col, text_col), min_words, rare).select(F.col("doc_id").alias("_later"), F.col("gone").alias("_gone"))
 
     def edit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             out, total, lost = [], [], []
-            for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
-                lines = units(t)
+            for t, g in zip(b.column(text_col).to_pylist(), b.column("_gone").to_pylist(), strict=True):
+                lines = units(t or "")
                 total.append(len(lines)), lost.append(len(g or ()))
-                if g:
-                    drop = set(g)
-                    t = "".join([x for i, x in enumerate(lines) if i not in drop])
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=["doc_id", "text", "n_lines", "n_deleted"])
+                drop = set(g or ())
+                out.append("".join([x for i, x in enumerate(lines) if i not in drop]))
+            new = {text_col: pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in names), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "_n_lines", "_n_deleted"])
+
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_deleted", T.LongType())])
+    return docs.join(gone, docs[id_col] == gone["_later"], "left").drop("_later").mapInArrow(edit, schema)
 
-    return rows.join(gone, "doc_id", "left").mapInArrow(edit, "doc_id long, text string, n_lines long, n_deleted long")
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, rare: int = 64) -> DataFrame:
+    """doc_id, text (edited), n_lines, n_deleted for every row."""
+    edited = edit_documents(texts(docs, id_col, text_col), min_words=min_words, rare=rare)
+    return edited.withColumnsRenamed({"_n_lines": "n_lines", "_n_deleted": "n_deleted"})

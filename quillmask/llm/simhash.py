@@ -149,3 +149,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks:
     found = member.join(smallest, "root").select("fp", "component_id")
     named = fps.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(named, "fp").select("doc_id", shown(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of one document of each component: that of the smallest doc_id.
+
+    Rows that repeat a doc_id count as one document, of which one row stays. A component whose ids are all null keeps one row for each fingerprint.
+    """
+    found = near_duplicates(docs, words, distance, blocks, id_col, text_col)
+    heads = cut(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_head")).agg(F.count("*").alias("_n")))
+    kept = docs.join(heads, docs[id_col].eqNullSafe(heads["_head"]))
+    once = kept.where("_n = 1").select(*docs.columns)
+    if heads.where("_n > 1").isEmpty():
+        return once
+    again = kept.where("_n > 1").select(*docs.columns, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_key"))
+    return once.unionByName(again.where(docs[id_col].isNotNull()).dropDuplicates([id_col]).unionByName(again.where(docs[id_col].isNull()).dropDuplicates(["_key"])).drop("_key"))

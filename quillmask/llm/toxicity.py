@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import ship, texts
+from ._base import filtered, ship, texts
 
 WORD = re.compile(r"\w+").findall
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -172,3 +172,8 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(model.score, b.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold."""
+    return filtered(docs, lambda batch: [model.score(t) < threshold for t in batch], text_col)
