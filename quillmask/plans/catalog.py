@@ -1,2 +1,513 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries over the library's operators, each with DuckDB SQL that gives the same rows where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import checksums, kinds, patterns, responses, spans
+from ..operators import compare, detect, diff, evaluate, mask, metrics, overlap, resolve
+from ..sources import jsonl
+from ..streaming import conversation
+from . import corpora as C
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def exact6(c):
+    return F.round(c, 6)
+
+
+# Pieces of DuckDB SQL.
+
+
+def _sql_iou(a0: str, a1: str, b0: str, b1: str) -> str:
+    shared = f"greatest(least({a1}, {b1}) - greatest({a0}, {b0}), 0)"
+    return f"(CASE WHEN {shared} > 0 THEN {shared}::DOUBLE / (({a1} - {a0}) + ({b1} - {b0}) - {shared}) ELSE 0.0 END)"
+
+
+def _sql_kind(c: str) -> str:
+    whens = " ".join(f"WHEN '{a}' THEN '{t}'" for a, t in kinds.ALIASES.items() if a != t)
+    return f"(CASE upper(trim({c})) {whens} ELSE upper(trim({c})) END)"
+
+
+_T = "'TRWAGMYFPDXBNJZSQVHLCKE'"
+
+
+def _sql_clean(x: str) -> str:
+    return f"replace(replace(upper(trim({x})), '-', ''), ' ', '')"
+
+
+def _sql_dni(c: str) -> str:
+    return f"coalesce(regexp_full_match({c}, '[0-9]{{8}}[A-HJ-NP-TV-Z]') AND substr({c}, 9, 1) = substr({_T}, TRY_CAST(substr({c}, 1, 8) AS INT) % 23 + 1, 1), false)"
+
+
+def _sql_valid(kind: str, x: str) -> str:
+    c = _sql_clean(x)
+    nie = f"(regexp_full_match({c}, '[XYZ][0-9]{{7}}[A-Z]') AND {_sql_dni(f'(translate(substr({c}, 1, 1), {chr(39)}XYZ{chr(39)}, {chr(39)}012{chr(39)}) || substr({c}, 2))')})"
+    d = lambda i: f"TRY_CAST(substr({c}, {i}, 1) AS INT)"
+    total = " + ".join([f"({d(i)} * 2 // 10 + {d(i)} * 2 % 10)" for i in (2, 4, 6, 8)] + [d(i) for i in (3, 5, 7)])
+    control = f"((10 - ({total}) % 10) % 10)"
+    wanted = f"CASE WHEN substr({c}, 1, 1) IN ('N','P','Q','R','S','W') THEN substr('JABCDEFGHI', {control} + 1, 1) ELSE CAST({control} AS VARCHAR) END"
+    cif = f"coalesce(regexp_full_match({c}, '[A-HJNP-SW][0-9]{{7}}[0-9A-J]') AND substr({c}, 9, 1) = {wanted}, false)"
+    return f"(CASE {kind} WHEN 'DNI' THEN {_sql_dni(c)} WHEN 'NIE' THEN {nie} WHEN 'CIF' THEN {cif} ELSE false END)"
+
+
+def _sql_spans(source: str, id_col: str, text: str, names: tuple[str, ...] | None = None) -> str:
+    """doc_id, entity_type, start, stop, replacement, confidence."""
+    parts = " UNION ALL ".join(
+        f"SELECT {id_col} AS doc_id, '{p.name}' AS entity_type, {p.confidence}::DOUBLE AS base, regexp_extract_all({text}, '(?im){p.regex}') AS m, string_split_regex({text}, '(?im){p.regex}') AS s FROM {source}"
+        for p in patterns.PATTERNS
+        if names is None or p.name in names
+    )
+    at = "coalesce(list_sum([length(x) for x in s[1:i]]), 0) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0)"
+    rows = f"SELECT *, m[i] AS replacement, CAST({at} AS INT) AS start FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({parts}))"
+    confidence = f"CASE WHEN entity_type IN ('DNI', 'NIE', 'CIF') AND NOT {_sql_valid('entity_type', 'replacement')} THEN base * 0.5 ELSE base END"
+    return f"SELECT doc_id, entity_type, start, CAST(start + length(replacement) AS INT) AS stop, replacement, {confidence} AS confidence FROM ({rows})"
+
+
+# Sources and projections.
+
+
+@query("SELECT lang, count(*) AS n, min(length(text))::DOUBLE AS min, max(length(text))::DOUBLE AS max, round(avg(length(text)), 6) AS mean, quantile_disc(length(text), 0.5)::DOUBLE AS p50, quantile_disc(length(text), 0.9)::DOUBLE AS p90, quantile_disc(length(text), 0.99)::DOUBLE AS p99 FROM documents GROUP BY lang")
+def doc_scan_profile(spark, d):
+    rows = table(spark, d, "documents").select("lang", F.length("text").alias("size"))
+    return metrics.pack(rows, ["lang"], "size", (0.5, 0.9, 0.99)).withColumn("mean", exact6(F.col("mean")))
+
+
+def _spans_query(names):
+    def run(spark, d):
+        return detect.by_pattern(table(spark, d, "documents"), names=names).select("doc_id", "entity_type", "start", "stop", "replacement", "confidence")
+
+    return run
+
+
+for _p in ("EMAIL", "IPV4", "NSS"):
+    query(_sql_spans("documents", "doc_id", "text", (_p,)), f"regex_spans_{_p.lower()}")(_spans_query((_p,)))
+query(_sql_spans("documents", "doc_id", "text"), "regex_spans_all")(_spans_query(None))
+
+
+@query(_sql_spans("pages", "page_id", "html"))
+def regex_spans_pages(spark, d):
+    return detect.by_pattern(table(spark, d, "pages"), id_col="page_id", text_col="html").select("doc_id", "entity_type", "start", "stop", "replacement", "confidence")
+
+
+@query(_sql_spans(C.duck(C.LETTERS), "doc_id", "text"))
+def regex_spans_letters(spark, d):
+    return detect.by_pattern(C.frame(spark, d, C.LETTERS)).select("doc_id", "entity_type", "start", "stop", "replacement", "confidence")
+
+
+def _check_query(kind):
+    def run(spark, d):
+        rows = C.frame(spark, d, C.IDENTS).where(F.col("kind") == kind)
+        return rows.select("doc_id", "ident", checksums.valid(F.col("kind"), F.col("ident")).alias("valid"), checksums.extracted(F.col("kind"), F.col("ident")).alias("clean"))
+
+    return run
+
+
+for _k in ("DNI", "NIE", "CIF"):
+    _v = _sql_valid("kind", "ident")
+    query(f"SELECT doc_id, ident, {_v} AS valid, CASE WHEN {_v} THEN {_sql_clean('ident')} END AS clean FROM {C.duck(C.IDENTS)} WHERE kind = '{_k}'", f"{_k.lower()}_checksum")(_check_query(_k))
+
+
+@query(f"SELECT entity_type, confidence, count(*) AS n FROM ({_sql_spans(C.duck(C.IDENTS), 'doc_id', 'ident')}) GROUP BY ALL")
+def confidence_by_type(spark, d):
+    return detect.by_pattern(C.frame(spark, d, C.IDENTS), text_col="ident").groupBy("entity_type", "confidence").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, regexp_full_match(ident, '(?i){patterns.BY_NAME['DNI'].regex}') AS dni, regexp_full_match(ident, '(?i){patterns.BY_NAME['NIE'].regex}') AS nie, regexp_full_match(ident, '(?i){patterns.BY_NAME['CIF'].regex}') AS cif FROM {C.duck(C.IDENTS)}")
+def fullmatch_test(spark, d):
+    return C.frame(spark, d, C.IDENTS).select("doc_id", *[patterns.full_match(F.col("ident"), n).alias(n.lower()) for n in ("DNI", "NIE", "CIF")])
+
+
+@query(f"SELECT {_sql_kind('entity_type')} AS entity_type, component, count(*) AS n FROM {C.duck(C.SPANS)} GROUP BY ALL")
+def alias_canonicalise(spark, d):
+    rows = C.frame(spark, d, C.SPANS).withColumn("entity_type", kinds.canonical(F.col("entity_type")))
+    return rows.groupBy("entity_type", "component").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CASE upper(entity_type) WHEN 'NAME' THEN 'NAME' WHEN 'PERSON' THEN 'NAME' WHEN 'COMPANY' THEN 'COMPANY' END AS gliner, CASE entity_type WHEN 'PERSON' THEN NULL ELSE entity_type END AS spacy, count(*) AS n FROM {C.duck(C.SPANS)} GROUP BY ALL")
+def label_families(spark, d):
+    t = F.col("entity_type")
+    return C.frame(spark, d, C.SPANS).groupBy(kinds.of_family(t, "GLINER").alias("gliner"), kinds.of_family(t, "SPACY").alias("spacy")).agg(F.count("*").alias("n"))
+
+
+# Overlaps.
+
+
+@query(f"SELECT a.doc_id, a.det_idx AS a, b.det_idx AS b, round({_sql_iou('a.start', 'a.stop', 'b.start', 'b.stop')}, 6) AS iou FROM {C.duck(C.SPANS)} a JOIN {C.duck(C.SPANS)} b ON a.doc_id = b.doc_id AND a.det_idx < b.det_idx AND a.start < b.stop AND b.start < a.stop")
+def iou_pairs(spark, d):
+    rows = C.frame(spark, d, C.SPANS).select("doc_id", "det_idx", "start", "stop")
+    a, b = rows.alias("a"), rows.alias("b")
+    both = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.det_idx") < F.col("b.det_idx")) & (F.col("a.start") < F.col("b.stop")) & (F.col("b.start") < F.col("a.stop")))
+    return both.select("a.doc_id", F.col("a.det_idx").alias("a"), F.col("b.det_idx").alias("b"), exact6(spans.iou(F.col("a.start"), F.col("a.stop"), F.col("b.start"), F.col("b.stop"))).alias("iou"))
+
+
+_TWICE = f"(SELECT * FROM {C.duck(C.SPANS)} UNION ALL SELECT * REPLACE (CAST(det_idx + 100 AS INT) AS det_idx) FROM {C.duck(C.SPANS)})"
+
+
+@query(f"SELECT doc_id, component, start, stop, entity_type, min(det_idx) AS det_idx FROM {_TWICE} GROUP BY ALL")
+def span_dedupe(spark, d):
+    rows = C.frame(spark, d, C.SPANS)
+    return overlap.deduplicated(rows.unionByName(rows.withColumn("det_idx", F.col("det_idx") + 100))).select("doc_id", "component", "start", "stop", "entity_type", "det_idx")
+
+
+def _sql_walk(threshold: float, cross: bool) -> str:
+    """doc_id, acc: the kept spans as a list, by a fold over the sorted candidates."""
+    conflict = lambda k, x: f"({'true' if cross else f'{k}.entity_type = {x}.entity_type'} AND {_sql_iou(f'{k}.start', f'{k}.stop', f'{x}.start', f'{x}.stop')} > {threshold})"
+    weight = lambda s: f"[{s}.confidence, ({s}.stop - {s}.start)::DOUBLE, (-{s}.start)::DOUBLE]"
+    x = "b[1]"
+    met = f"list_filter(acc, lambda k: k.prio = {x}.prio AND {conflict('k', x)})[1]"
+    wins = f"NOT ({met}.comp_idx = {x}.comp_idx AND {met}.start = {x}.start AND {met}.stop = {x}.stop) AND {weight(x)} > {weight(met)}"
+    anything = f"len(list_filter(acc, lambda k: {conflict('k', x)})) > 0"
+    step = f"CASE WHEN NOT {anything} THEN list_concat(acc, b) WHEN coalesce({wins}, false) THEN list_concat(list_filter(acc, lambda k: NOT (k.comp_idx = {met}.comp_idx AND k.det_idx = {met}.det_idx)), b) ELSE acc END"
+    item = f"{{'prio': prio, 'hier': hier, 'comp_idx': comp_idx, 'det_idx': det_idx, 'start': start, 'stop': stop, 'entity_type': {_sql_kind('entity_type')}, 'id': id, 'confidence': confidence}}"
+    lists = f"SELECT doc_id, list([{item}] ORDER BY prio, hier, comp_idx, det_idx) AS cs FROM {C.duck(C.SPANS)} GROUP BY doc_id"
+    return f"SELECT doc_id, list_reduce(cs, lambda acc, b: {step}) AS acc FROM ({lists})"
+
+
+def _walk_query(threshold, policy):
+    def run(spark, d):
+        out = overlap.resolved(C.frame(spark, d, C.SPANS).withColumn("replacement", F.lit(None).cast("string")), threshold, policy)
+        return out.select("doc_id", F.posexplode("entities").alias("pos", "s")).select("doc_id", F.col("pos").cast("long").alias("pos"), "s.comp_idx", "s.det_idx", "s.start", "s.stop", "s.entity_type")
+
+    return run
+
+
+for _n, _t, _policy in (("overlap_same_type", 0.2, "same_type_only"), ("overlap_cross_type", 0.0, "cross_type")):
+    query(f"SELECT doc_id, pos - 1 AS pos, s.comp_idx AS comp_idx, s.det_idx AS det_idx, s.start AS start, s.stop AS stop, s.entity_type AS entity_type FROM (SELECT doc_id, unnest(acc) AS s, unnest(range(1, len(acc) + 1)) AS pos FROM ({_sql_walk(_t, _policy == 'cross_type')}))", _n)(_walk_query(_t, _policy))
+
+
+@query(f"WITH r AS (SELECT *, CASE WHEN start >= max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS fresh FROM {C.duck(C.CHUNKS)}), i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, stop, ord) AS island FROM r), g AS (SELECT doc_id, island, min(start) AS start, max(stop) AS stop, first(stop ORDER BY start, stop, ord) AS own, first(entity_type ORDER BY start, stop, ord) AS entity_type, first(id ORDER BY start, stop, ord) AS id, first(confidence ORDER BY start, stop, ord) AS c FROM i GROUP BY doc_id, island) SELECT doc_id, start, stop, entity_type, id, CASE WHEN stop = own THEN c END AS confidence FROM g")
+def coalesce_islands(spark, d):
+    return detect.coalesced(C.frame(spark, d, C.CHUNKS))
+
+
+@query(f"SELECT doc_id, chunk, ord, confidence FROM {C.duck(C.CHUNKS)} QUALIFY row_number() OVER (PARTITION BY doc_id, chunk ORDER BY confidence DESC, ord) <= 2")
+def topk_per_chunk(spark, d):
+    return detect.top_per_chunk(C.frame(spark, d, C.CHUNKS), 2).select("doc_id", "chunk", "ord", "confidence")
+
+
+@query(f"SELECT doc_id, ord, start, stop FROM {C.duck(C.CHUNKS)} WHERE stop - start BETWEEN 6 AND 12")
+def span_length_filter(spark, d):
+    return detect.of_length(C.frame(spark, d, C.CHUNKS), 6, 12).select("doc_id", "ord", "start", "stop")
+
+
+def _sql_nms() -> str:
+    x = "b[1]"
+    best = f"CASE WHEN {x}.x.confidence > acc[1].best.confidence THEN {x}.x ELSE acc[1].best END"
+    same = f"acc[1].head.entity_type = {x}.x.entity_type AND {_sql_iou('acc[1].head.start', 'acc[1].head.stop', f'{x}.x.start', f'{x}.x.stop')} > 0.3"
+    item = "{'start': start, 'stop': stop, 'ord': ord, 'entity_type': entity_type, 'confidence': confidence}"
+    # The accumulator is a list of one struct: the run's head, its best span, what is done; elements carry themselves as x.
+    first = f"[{{'x': {item}, 'head': {item}, 'best': {item}, 'done': list_filter([{item}], lambda z: false)}}]"
+    step = f"CASE WHEN {same} THEN [{{'x': acc[1].x, 'head': acc[1].head, 'best': {best}, 'done': acc[1].done}}] ELSE [{{'x': acc[1].x, 'head': {x}.x, 'best': {x}.x, 'done': list_append(acc[1].done, acc[1].best)}}] END"
+    return f"SELECT doc_id, s.start AS start, s.stop AS stop, s.ord AS ord, s.entity_type AS entity_type, s.confidence AS confidence FROM (SELECT doc_id, unnest(list_append(r[1].done, r[1].best)) AS s FROM (SELECT doc_id, list_reduce(list({first} ORDER BY start, stop, ord), lambda acc, b: {step}) AS r FROM {C.duck(C.CHUNKS)} GROUP BY doc_id))"
+
+
+@query(_sql_nms())
+def model_nms(spark, d):
+    return detect.suppressed(C.frame(spark, d, C.CHUNKS), 0.3)
+
+
+_WORDS = "SELECT doc_id, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS INT) AS n FROM documents"
+
+
+@query(f"SELECT doc_id, CAST(c AS INT) AS chunk, CAST(c * 334 AS INT) AS first, CAST(least(c * 334 + 384, n) - 1 AS INT) AS last, CAST(c * 334 * 2 AS INT) AS start, CAST((least(c * 334 + 384, n) - 1) * 2 + 1 AS INT) AS stop FROM (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 384 THEN 1 ELSE CAST(ceil((n - 384) / 334.0) AS INT) + 1 END)) AS c FROM ({_WORDS}))")
+def chunk_tokens_fixed(spark, d):
+    n = (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("int")
+    tokens = table(spark, d, "documents").select("doc_id", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i * 2).alias("start"), (i * 2 + 1).alias("stop"))).alias("offsets"))
+    return detect.token_chunks(tokens)
+
+
+# Masking.
+
+
+def _sql_mask(method: str) -> str:
+    token = "repeat('*', s.stop - s.start)" if method == "ASTERISK" else "'[' || s.entity_type || coalesce(s.id, '') || ']'"
+    text = "repeat('lorem ipsum ', 6)"
+    rows = f"SELECT doc_id, unnest(acc) AS s, unnest(range(1, len(acc) + 1)) AS pos FROM ({_sql_walk(0.0, True)})"
+    # Spans may still overlap: the walk shows only what lies beyond all earlier ends.
+    reach = "coalesce(max(s.stop) OVER (PARTITION BY doc_id ORDER BY s.start, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    parts = f"SELECT doc_id, s, pos, {reach} AS beg, max(s.stop) OVER (PARTITION BY doc_id) AS fin FROM ({rows})"
+    return f"SELECT doc_id, string_agg(CASE WHEN s.start > beg THEN substr({text}, beg + 1, s.start - beg) ELSE '' END || {token}, '' ORDER BY s.start, pos) || substr({text}, any_value(fin) + 1) AS masked_text FROM ({parts}) GROUP BY doc_id"
+
+
+def _mask_query(method):
+    def run(spark, d):
+        rows = C.frame(spark, d, C.SPANS).withColumn("replacement", F.lit(None).cast("string"))
+        docs = rows.select("doc_id").distinct().withColumn("text", F.repeat(F.lit("lorem ipsum "), F.lit(6)))
+        return mask.masked(docs, overlap.resolved(rows, 0.0, "cross_type"), method).select("doc_id", "masked_text")
+
+    return run
+
+
+query(_sql_mask("ENTITY_TAG"), "mask_entity_tag")(_mask_query("ENTITY_TAG"))
+query(_sql_mask("ASTERISK"), "mask_asterisk")(_mask_query("ASTERISK"))
+
+
+@query()
+def mask_documents(spark, d):
+    """Flagship: identifiers of documents found, overlaps resolved across types, masked."""
+    docs = table(spark, d, "documents")
+    entities = overlap.resolved(overlap.ranked(detect.by_pattern(docs)), 0.2, "cross_type")
+    out = mask.masked(docs, entities)
+    return out.select("doc_id", F.coalesce(F.size("entities"), F.lit(0)).alias("n_entities"), "masked_text")
+
+
+@query()
+def highlight_documents(spark, d):
+    docs = C.frame(spark, d, C.LETTERS)
+    out = mask.masked(docs, overlap.resolved(overlap.ranked(detect.by_pattern(docs)), 0.0, "cross_type"))
+    return out.select("doc_id", mask.highlighted(F.col("original_text"), F.col("entities")).alias("html"))
+
+
+# Gold.
+
+_BLOCKS = r"(?s)##([^;#@]+);([^;#@]*);(.*?)@@"
+
+
+@query(f"SELECT doc_id, regexp_replace(gold, '{_BLOCKS}', '\\3', 'g') AS text FROM {C.duck(C.INLINE)}")
+def inline_gold_text(spark, d):
+    return C.frame(spark, d, C.INLINE).select("doc_id", jsonl.inline_text(F.col("gold")).alias("text"))
+
+
+@query(f"SELECT doc_id, CAST(start AS INT) AS start, CAST(start + length(raw) AS INT) AS stop, {_sql_kind('kind')} AS entity_type, id FROM (SELECT doc_id, list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in r[1:i - 1]]), 0) AS start, r[i] AS raw, k[i] AS kind, nullif(trim(n[i]), '') AS id FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM (SELECT doc_id, string_split_regex(gold, '{_BLOCKS.replace('(', '(?:').replace('(?:?s)', '(?s)')}') AS g, regexp_extract_all(gold, '{_BLOCKS}', 1) AS k, regexp_extract_all(gold, '{_BLOCKS}', 2) AS n, regexp_extract_all(gold, '{_BLOCKS}', 3) AS r FROM {C.duck(C.INLINE)})))")
+def inline_gold_spans(spark, d):
+    return C.frame(spark, d, C.INLINE).select("doc_id", F.inline(jsonl.inline_spans(F.col("gold")))).select("doc_id", "start", "stop", "entity_type", "id")
+
+
+# Resolution.
+
+_NODES = f"(SELECT doc_id, entity_type, mention, min(ord) AS node FROM {C.duck(C.MENTIONS)} GROUP BY ALL)"
+_GRAMS = f"(SELECT doc_id, entity_type, node, substr(p, i, 3) AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, length(p) - 1)) AS i FROM (SELECT doc_id, entity_type, node, '^' || trim(regexp_replace(lower(mention), '\\s+', ' ', 'g')) || '$' AS p FROM {_NODES})) GROUP BY ALL)"
+_PAIRS = f"WITH v AS {_GRAMS}, l AS (SELECT doc_id, entity_type, node, sqrt(sum(n * n)) AS norm FROM v GROUP BY ALL), dots AS (SELECT a.doc_id, a.entity_type, a.node AS node_a, b.node AS node_b, sum(a.n * b.n) AS dot FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.entity_type = b.entity_type AND a.gram = b.gram AND a.node < b.node GROUP BY ALL) SELECT d.doc_id, d.entity_type, node_a, node_b, dot / (x.norm * y.norm) AS cosine FROM dots d JOIN l x ON d.doc_id = x.doc_id AND d.entity_type = x.entity_type AND node_a = x.node JOIN l y ON d.doc_id = y.doc_id AND d.entity_type = y.entity_type AND node_b = y.node WHERE dot / (x.norm * y.norm) >= 0.75"
+
+
+@query(f"SELECT doc_id, entity_type, node, gram, n FROM {_GRAMS}")
+def ngram_vector(spark, d):
+    rows = resolve.named(C.frame(spark, d, C.MENTIONS)).where("ord = node")
+    return resolve.vectors(rows, ["doc_id", "entity_type", "node"])
+
+
+@query(f"SELECT doc_id, entity_type, node_a, node_b, round(cosine, 6) AS cosine FROM ({_PAIRS})")
+def ngram_cosine_pairs(spark, d):
+    return resolve.similar_pairs(resolve.named(C.frame(spark, d, C.MENTIONS))).withColumn("cosine", exact6(F.col("cosine")))
+
+
+_ROOTS = f"WITH RECURSIVE e AS (SELECT doc_id, entity_type, node_a AS a, node_b AS b FROM ({_PAIRS}) UNION ALL SELECT doc_id, entity_type, node_b, node_a FROM ({_PAIRS})), r AS (SELECT doc_id, entity_type, node, node AS root FROM {_NODES} UNION SELECT r.doc_id, r.entity_type, e.b, r.root FROM r JOIN e ON r.doc_id = e.doc_id AND r.entity_type = e.entity_type AND r.node = e.a) SELECT doc_id, entity_type, node, min(root) AS root FROM r GROUP BY ALL"
+
+
+@query(_ROOTS)
+def entity_components(spark, d):
+    rows = resolve.named(C.frame(spark, d, C.MENTIONS))
+    return resolve.components(rows, resolve.similar_pairs(rows)).select("doc_id", "entity_type", "node", "root").distinct()
+
+
+@query(f"WITH roots AS ({_ROOTS}), m AS (SELECT t.doc_id, t.entity_type, t.ord, r.root FROM {C.duck(C.MENTIONS)} t JOIN {_NODES} n ON t.doc_id = n.doc_id AND t.entity_type = n.entity_type AND t.mention = n.mention JOIN roots r ON r.doc_id = n.doc_id AND r.entity_type = n.entity_type AND r.node = n.node), f AS (SELECT doc_id, entity_type, root, min(ord) AS o FROM m GROUP BY ALL), i AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY o) AS INT) AS id FROM f) SELECT m.doc_id, m.entity_type, m.ord, i.id FROM m JOIN i ON m.doc_id = i.doc_id AND m.entity_type = i.entity_type AND m.root = i.root")
+def entity_ids(spark, d):
+    return resolve.resolved(C.frame(spark, d, C.MENTIONS))
+
+
+@query()
+def cache_ids(spark, d):
+    """Mentions against a cache of aliases, exact and close ones."""
+    cache = C.frame(spark, d, "SELECT n_nationkey AS doc_id, 'NAME' AS entity_type, CAST(i + 3 AS INT) AS id, CASE i WHEN 0 THEN 'Acme 1111111' ELSE n_name || ' 44444' END AS alias FROM {nation} CROSS JOIN (VALUES (0), (1)) AS t(i)")
+    return resolve.resolved(C.frame(spark, d, C.MENTIONS), 0.75, cache)
+
+
+_TURNS = "SELECT conv_id, turn, CAST(i AS INT) AS ord, CASE i WHEN 0 THEN 'NAME' ELSE 'COMPANY' END AS entity_type, substr(text, CAST(i * 4 + 1 AS INT), 2) AS mention FROM {conversations} CROSS JOIN (VALUES (0), (1), (2)) AS t(i)"
+
+
+@query(f"WITH m AS {C.duck(_TURNS)}, f AS (SELECT conv_id, entity_type, mention, min(turn * 10 + ord) AS o FROM m GROUP BY ALL), i AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, entity_type ORDER BY o) AS INT) AS id FROM f) SELECT m.conv_id, m.turn, m.ord, m.entity_type, m.mention, i.id FROM m JOIN i ON m.conv_id = i.conv_id AND m.entity_type = i.entity_type AND m.mention = i.mention")
+def conversation_ids(spark, d):
+    return conversation.numbered(C.frame(spark, d, _TURNS))
+
+
+# Evaluation.
+
+
+def _pairs(spark, d):
+    return evaluate.paired(C.frame(spark, d, C.PREDS).withColumn("scope", F.lit("global")), C.frame(spark, d, C.GOLDS).withColumn("scope", F.lit("global")))
+
+
+def _rounded(rows):
+    return rows.select("entity_type", "tp", "fp", "fn", *[exact6(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _sql_rates(counts: str, sets: str) -> str:
+    p, r = "coalesce(tp / nullif(tp + fp, 0), 0)", "coalesce(tp / nullif(tp + fn, 0), 0)"
+    sums = f"SELECT entity_type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({counts}) GROUP BY GROUPING SETS ({sets})"
+    return f"SELECT entity_type, tp, fp, fn, round({p}, 6)::DOUBLE AS precision, round({r}, 6)::DOUBLE AS recall, round(coalesce(2 * {p} * {r} / nullif({p} + {r}, 0), 0), 6)::DOUBLE AS f1 FROM ({sums})"
+
+
+_EXACT = f"SELECT coalesce(p.doc_id, g.doc_id) AS doc_id, coalesce(p.entity_type, g.entity_type) AS entity_type, least(coalesce(p.n, 0), coalesce(g.n, 0)) AS tp, coalesce(p.n, 0) - least(coalesce(p.n, 0), coalesce(g.n, 0)) AS fp, coalesce(g.n, 0) - least(coalesce(p.n, 0), coalesce(g.n, 0)) AS fn FROM (SELECT doc_id, start, stop, entity_type, count(*) AS n FROM {C.duck(C.PREDS)} GROUP BY ALL) p FULL JOIN (SELECT doc_id, start, stop, entity_type, count(*) AS n FROM {C.duck(C.GOLDS)} GROUP BY ALL) g ON p.doc_id = g.doc_id AND p.start = g.start AND p.stop = g.stop AND p.entity_type = g.entity_type"
+
+
+@query(_sql_rates(_EXACT, "(entity_type)"))
+def eval_exact_by_type(spark, d):
+    return _rounded(evaluate.summed(evaluate.counted(_pairs(spark, d), "exact", None)).where("entity_type is not null"))
+
+
+@query(_sql_rates(_EXACT, "(entity_type), ()"))
+def eval_exact_total(spark, d):
+    return _rounded(evaluate.summed(evaluate.counted(_pairs(spark, d), "exact", None)))
+
+
+def _sql_iou_counts(t: float) -> str:
+    score = _sql_iou("b[1].start", "b[1].stop", "x.k.start", "x.k.stop")
+    # acc: [{start, stop, used}]; golds are fixed per row as g.
+    ranked = f"list_sort(list_filter(list_transform(list_transform(g, lambda k, j: {{'k': k, 'j': j}}), lambda x: {{'s': -{score}, 'j': x.j}}), lambda r: NOT list_contains(acc[1].used, r.j) AND -r.s >= {t}))"
+    step = f"CASE WHEN len({ranked}) = 0 THEN acc ELSE [{{'start': 0, 'stop': 0, 'used': list_append(acc[1].used, {ranked}[1].j)}}] END"
+    none = "list_filter([0::BIGINT], lambda z: false)"
+    p = f"list([{{'start': start, 'stop': stop, 'used': {none}}}] ORDER BY ord)"
+    rows = f"SELECT coalesce(p.doc_id, g.doc_id) AS doc_id, coalesce(p.entity_type, g.entity_type) AS entity_type, coalesce(p.p, []) AS p, coalesce(g.g, []) AS g FROM (SELECT doc_id, entity_type, {p} AS p FROM {C.duck(C.PREDS)} GROUP BY ALL) p FULL JOIN (SELECT doc_id, entity_type, list({{'start': start, 'stop': stop}} ORDER BY ord) AS g FROM {C.duck(C.GOLDS)} GROUP BY ALL) g ON p.doc_id = g.doc_id AND p.entity_type = g.entity_type"
+    fold = f"CASE WHEN len(p) = 0 THEN 0 ELSE len(list_reduce(list_prepend([{{'start': 0, 'stop': 0, 'used': {none}}}], p), lambda acc, b: {step})[1].used) END"
+    return f"SELECT doc_id, entity_type, tp, len(p) - tp AS fp, len(g) - tp AS fn FROM (SELECT *, {fold} AS tp FROM ({rows}))"
+
+
+def _iou_query(t):
+    return lambda spark, d: _rounded(evaluate.summed(evaluate.counted(_pairs(spark, d), "iou", t)))
+
+
+for _t in evaluate.THRESHOLDS:
+    query(_sql_rates(_sql_iou_counts(_t), "(entity_type), ()"), f"eval_iou_{round(100 * _t)}")(_iou_query(_t))
+
+
+def _by_id_query(optimal):
+    return lambda spark, d: _rounded(evaluate.summed(evaluate.counted_by_id(_pairs(spark, d), "iou@0.50_by_id", 0.5, optimal)))
+
+
+query(None, "eval_by_id_greedy")(_by_id_query(False))
+query(None, "eval_by_id_hungarian")(_by_id_query(True))
+
+
+@query(f"SELECT coalesce(p.doc_id, g.doc_id) AS doc_id, count(*) FILTER (WHERE p.doc_id IS NOT NULL AND g.doc_id IS NOT NULL) AS tp, count(*) FILTER (WHERE g.doc_id IS NULL) AS fp, count(*) FILTER (WHERE p.doc_id IS NULL) AS fn FROM (SELECT DISTINCT doc_id, start, stop, entity_type FROM {C.duck(C.PREDS)}) p FULL JOIN (SELECT DISTINCT doc_id, start, stop, entity_type FROM {C.duck(C.GOLDS)}) g ON p.doc_id = g.doc_id AND p.start = g.start AND p.stop = g.stop AND p.entity_type = g.entity_type GROUP BY 1")
+def exact_set_evaluator(spark, d):
+    return evaluate.exact_sets(C.frame(spark, d, C.PREDS), C.frame(spark, d, C.GOLDS))
+
+
+@query(f"SELECT component AS scope, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM (SELECT coalesce(p.component, g.component) AS component, least(coalesce(p.n, 0), coalesce(g.n, 0)) AS tp, coalesce(p.n, 0) - least(coalesce(p.n, 0), coalesce(g.n, 0)) AS fp, coalesce(g.n, 0) - least(coalesce(p.n, 0), coalesce(g.n, 0)) AS fn FROM (SELECT component, doc_id, start, stop, entity_type, count(*) AS n FROM {C.duck(C.PREDS)} WHERE entity_type <> 'ADDRESS' OR component = '02-SPACY' GROUP BY ALL) p FULL JOIN (SELECT component, doc_id, start, stop, entity_type, count(*) AS n FROM {C.duck(C.GOLDS)} CROSS JOIN (VALUES ('01-REGEX'), ('02-SPACY')) AS c(component) GROUP BY ALL) g ON p.component = g.component AND p.doc_id = g.doc_id AND p.start = g.start AND p.stop = g.stop AND p.entity_type = g.entity_type) GROUP BY 1")
+def eval_per_component(spark, d):
+    types = spark.sql("SELECT * FROM VALUES ('01-REGEX', 'NAME'), ('01-REGEX', 'COMPANY'), ('02-SPACY', 'NAME'), ('02-SPACY', 'COMPANY'), ('02-SPACY', 'ADDRESS') AS t(component, entity_type)")
+    p, g = evaluate.scoped(C.frame(spark, d, C.PREDS), C.frame(spark, d, C.GOLDS), types)
+    return evaluate.counted(evaluate.paired(p, g), "exact", None).groupBy("scope").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+# Metrics and comparison.
+
+
+@query(f"SELECT entity_type, count(*) AS spans FROM ({_sql_spans('documents', 'doc_id', 'text')}) GROUP BY 1")
+def detected_by_type(spark, d):
+    return metrics.detected(detect.by_pattern(table(spark, d, "documents")))
+
+
+@query(f"SELECT component, sum(n)::BIGINT AS raw, round(sum(n / length(text)), 6) AS per_char FROM (SELECT component, doc_id, count(*) AS n FROM {C.duck(C.SPANS)} GROUP BY ALL) JOIN documents USING (doc_id) GROUP BY 1")
+def spans_per_char(spark, d):
+    return metrics.totals(C.frame(spark, d, C.SPANS), table(spark, d, "documents")).withColumn("per_char", exact6(F.col("per_char")))
+
+
+@query("SELECT count(*) AS n, min(length(text))::DOUBLE AS min, max(length(text))::DOUBLE AS max, round(avg(length(text)), 6) AS mean, quantile_disc(length(text), 0.5)::DOUBLE AS p50, quantile_disc(length(text), 0.95)::DOUBLE AS p95, quantile_disc(length(text), 0.99)::DOUBLE AS p99 FROM documents")
+def quantiles_len(spark, d):
+    return metrics.pack(table(spark, d, "documents").select(F.length("text").alias("size")), [], "size").withColumn("mean", exact6(F.col("mean")))
+
+
+@query("SELECT CAST(length(text) AS INT) AS size, round(max(r) / any_value(n), 6) AS share FROM (SELECT text, row_number() OVER (ORDER BY length(text)) AS r, count(*) OVER () AS n FROM documents) GROUP BY 1")
+def length_cdf(spark, d):
+    return metrics.cdf(table(spark, d, "documents").select(F.length("text").alias("size")), "size").withColumn("share", exact6(F.col("share")))
+
+
+@query("SELECT count(DISTINCT o_orderkey) AS docs, round(sum(o_totalprice), 2)::DOUBLE AS seconds, round(count(DISTINCT o_orderkey) / sum(o_totalprice), 9)::DOUBLE AS docs_per_second FROM orders")
+def throughput(spark, d):
+    rows = metrics.throughput(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").cast("double").alias("seconds")))
+    return rows.select("docs", F.round("seconds", 2).alias("seconds"), F.round("docs_per_second", 9).alias("docs_per_second"))
+
+
+_BASE = f"SELECT * FROM {C.duck(C.RUNS)}"
+
+
+@query(f"SELECT coalesce(b.entity_type, c.entity_type) AS entity_type, round(b.f1, 6) AS baseline, round(c.f1, 6) AS candidate, round(c.f1 - b.f1, 6) AS delta, round(CASE WHEN abs(b.f1) > 1e-12 THEN (c.f1 - b.f1) / b.f1 * 100 END, 6) AS pct FROM (SELECT * FROM ({_BASE}) WHERE run_id = 'run-1') b FULL JOIN (SELECT * FROM ({_BASE}) WHERE run_id = 'run-7') c ON b.entity_type = c.entity_type")
+def run_diff_full_outer(spark, d):
+    out = compare.diff(C.frame(spark, d, C.RUNS), "run-1", "run-7", ["entity_type"], "f1")
+    return out.select("entity_type", *[exact6(F.col(c)).alias(c) for c in ("baseline", "candidate", "delta", "pct")])
+
+
+_MULTI = f"SELECT coalesce(b.run_id, c.run_id) AS run_id, coalesce(b.entity_type, c.entity_type) AS entity_type, b.f1 AS baseline, c.f1 AS candidate, c.f1 - b.f1 AS delta FROM (SELECT r.run_id, x.entity_type, x.f1 FROM ({_BASE}) x CROSS JOIN (SELECT DISTINCT run_id FROM ({_BASE}) WHERE run_id <> 'run-1') r WHERE x.run_id = 'run-1') b FULL JOIN (SELECT * FROM ({_BASE}) WHERE run_id <> 'run-1') c ON b.run_id = c.run_id AND b.entity_type = c.entity_type"
+
+
+@query(f"SELECT run_id, entity_type, round(baseline, 6) AS baseline, round(candidate, 6) AS candidate, round(delta, 6) AS delta, round(coalesce(delta / max(abs(delta)) OVER (), 0), 6) AS heat FROM ({_MULTI})")
+def multi_run_delta(spark, d):
+    out = compare.multi_diff(C.frame(spark, d, C.RUNS), "run-1", ["entity_type"], "f1")
+    return out.select("run_id", "entity_type", *[exact6(F.col(c)).alias(c) for c in ("baseline", "candidate", "delta", "heat")])
+
+
+@query(f"SELECT * FROM (SELECT 'improvement' AS side, CAST(row_number() OVER (ORDER BY delta DESC, run_id, entity_type) AS INT) AS rank, run_id, entity_type, round(delta, 6) AS delta FROM ({_MULTI}) WHERE delta > 0 UNION ALL SELECT 'regression', CAST(row_number() OVER (ORDER BY delta, run_id, entity_type) AS INT), run_id, entity_type, round(delta, 6) FROM ({_MULTI}) WHERE delta < 0) WHERE rank <= 10")
+def top_changes(spark, d):
+    changes = compare.multi_diff(C.frame(spark, d, C.RUNS), "run-1", ["entity_type"], "f1").drop("heat")
+    return compare.top_changes(changes).select("side", "rank", "run_id", "entity_type", exact6(F.col("delta")).alias("delta"))
+
+
+_DOCS = f"SELECT doc_id, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({_EXACT}) GROUP BY 1"
+
+
+@query(f"SELECT doc_id, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall FROM ({_DOCS}) ORDER BY fp + fn DESC, doc_id LIMIT 25")
+def worst_documents(spark, d):
+    """The 25 documents with most errors."""
+    scored = compare.scored_documents(evaluate.counted(_pairs(spark, d), "exact", None))
+    return compare.worst(scored, 25, "errors").select("doc_id", "tp", "fp", "fn", exact6(F.col("precision")).alias("precision"), exact6(F.col("recall")).alias("recall"))
+
+
+@query(f"SELECT run_id, CASE WHEN bool_or(v = 'exact') THEN 'exact' WHEN bool_or(v = 'iou@0.50') THEN 'iou@0.50' ELSE min(v) END AS variant FROM (SELECT DISTINCT run_id, CASE WHEN entity_type < 'M' THEN 'iou@0.50' WHEN run_id < 'run-4' THEN 'exact' ELSE 'iou@0.10' END AS v FROM ({_BASE})) GROUP BY 1")
+def primary_variant(spark, d):
+    v = F.when(F.col("entity_type") < "M", "iou@0.50").when(F.col("run_id") < "run-4", "exact").otherwise("iou@0.10")
+    return compare.primary_variant(C.frame(spark, d, C.RUNS).select("run_id", v.alias("variant")))
+
+
+@query(f"SELECT run_id, entity_type FROM ({_BASE}) WHERE run_id LIKE 'run-%'")
+def variants_in_order(spark, d):
+    rows = C.frame(spark, d, C.RUNS)
+    return rows.orderBy(compare.variant_order(F.col("entity_type")), compare.component_order(F.col("run_id"))).select("run_id", "entity_type")
+
+
+@query("SELECT a AS threshold, b AS policy, c AS method FROM (VALUES (0.2::DOUBLE), (0.75::DOUBLE)) AS x(a) CROSS JOIN (VALUES ('same_type_only'), ('cross_type')) AS y(b) CROSS JOIN (VALUES ('ENTITY_TAG'), ('ASTERISK')) AS z(c)")
+def config_cartesian(spark, d):
+    from .config import expanded
+
+    runs = expanded({"overlap": {"iou_threshold": [0.2, 0.75], "overlap_policy": ["same_type_only", "cross_type"]}, "masker": {"method": ["entity_tag", "asterisk"]}})
+    return spark.createDataFrame([(r.overlap.iou_threshold, r.overlap.overlap_policy, r.masker.method) for r in runs], "threshold double, policy string, method string")
+
+
+# The remote service's answers.
+
+
+@query(f"SELECT doc_id, (lower(reason) = 'length' OR CAST(announced AS BIGINT) > received OR (length(masked) < 0.6 * length(text) AND NOT regexp_matches(rtrim(right(masked, 64)), '[.!?)\\]]$')) OR (contains(masked, '[') AND NOT ends_with(rtrim(masked), ']') AND NOT contains(split_part(masked, '[', -1), ']'))) AS truncated FROM {C.duck(C.ANSWERS)}")
+def api_truncation_flag(spark, d):
+    flag = responses.truncated(F.col("text"), F.col("masked"), F.col("reason"), F.col("announced"), F.col("received"))
+    return C.frame(spark, d, C.ANSWERS).select("doc_id", flag.alias("truncated"))
+
+
+@query()
+def api_diff_spans(spark, d):
+    return diff.diffs(C.frame(spark, d, C.ANSWERS))
+
+
+@query(f"SELECT doc_id, masked AS answer FROM {C.duck(C.ANSWERS)}")
+def api_response_text(spark, d):
+    body = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("masked").alias("masked_text")))).otherwise(F.to_json(F.struct(F.lit("").alias("text"), F.array(F.struct(F.struct(F.col("masked").alias("content")).alias("message"))).alias("choices"))))
+    return C.frame(spark, d, C.ANSWERS).select("doc_id", responses.masked_text(body).alias("answer"))
