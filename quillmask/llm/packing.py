@@ -21,8 +21,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ._base import ship, spread, texts
+from .bpe import byte_letters
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class Words:
-    """Encodes texts by white-space separated words, which a tokenizer without context across spaces treats alone; remembers a bounded number."""
+class Words(dict):
+    """Ids of white-space separated words, which a tokenizer without context across spaces encodes each alone; remembers a bounded number.
+
+    A word of Latin letters, perhaps with ASCII punctuation after it, is one or two pre-tokens, whose pieces come straight from the
+    tokenizer's model; all other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, remember: int = 500_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,20 +53,51 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
         self.remember = remember
+        self.pieces = self.tokenizer.model.tokenize
+        self.letters = {b: ord(c) for b, c in byte_letters().items()}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def stem(self, text: str) -> bytes | None:
+        """Ids of a word of Latin letters, none for other words."""
+        if not text.isalpha() or not text.isascii() and max(text) >= "\u0250":
+            return None
+        low = text.lower()
+        if (out := self.stems.get(low)) is None:
+            if not low.isalpha():  # a capital whose small form is a letter and a mark
+                return None
+            raw = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            out = self.stems[low] = self.packed([t.id for t in self.pieces(raw)])
+        return out
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        base = text.rstrip(punctuation)
+        out = self.stem(base)
+        if out is None:
+            out = self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        elif len(base) < len(text):
+            mark = text[len(base) :]
+            if mark not in self.marks:
+                self.marks[mark] = self.packed(self.tokenizer.encode(mark, add_special_tokens=False).ids)
+            out += self.marks[mark]
+        self[word] = out
+        return out
 
     def encode(self, batch: list[str], end: int) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in batch]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
-        get, last = self.known.__getitem__, np.array([end], self.kind).tobytes()
-        return [b"".join([*map(get, words), last]) for words in split]
+        last, get = self.packed([end]), self.__getitem__
+        out = []
+        for t in batch:
+            for memory in (self, self.stems, self.marks):
+                if len(memory) > self.remember:
+                    memory.clear()
+            self.marks[""] = b""
+            out.append(b"".join([*map(get, t.encode("utf-8", "surrogatepass").split()), last]))
+        return out
 
 
 @lru_cache(maxsize=2)
