@@ -2,7 +2,7 @@
 
 Lines are hashed, long ones in parts of a sentence or more (units() below; a line means such a unit here). Documents that share a rare line (in at most `rare` documents) are paired, each with the first document that
 has the line; what consists of frequent lines only is found by the hashes of runs, the fewest consecutive lines from a
-line on that have `min_words` words, each paired with the first document that has the run, so no frequency is left out and a
+line on that have `min_words` words (40, so that a passage of 50 words that begins and ends within sentences is found), each paired with the first document that has the run, so no frequency is left out and a
 document has at most two partners for each of its lines. Each pair is aligned by patience diff over its line hashes: lines unique in
 both sides anchor the alignment along a longest increasing sequence, and gaps between anchors are aligned in turn. Aligned
 blocks of consecutive common lines with at least `min_words` words are deleted from the later document, that of greater doc_id.
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from ._base import cut, ship, texts
 
-#: Words from which a line is cut at the next end of a sentence, so that one changed word doesn't hide a long paragraph.
-CUT = 16
+#: Words from which a line is cut at the next end of a sentence: few, so that a passage is cut alike wherever it stands in a line.
+CUT = 4
 SENTENCES = re.compile(r"[^.!?]+[.!?]*\s*|[.!?]+\s*").findall
 
 
@@ -43,7 +43,7 @@ def units(text: str) -> list[str]:
     lines = text.split("\n")
     for n, line in enumerate(lines, 1):
         end = "\n" if n < len(lines) else ""
-        if len(line) > 6 * CUT and len(line.split()) > 2 * CUT:
+        if len(line) > 2 * CUT and len(line.split()) > 2 * CUT:
             held, have = "", 0
             for s in SENTENCES(line):
                 held += s
@@ -151,7 +151,7 @@ def blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int
     return out
 
 
-def profiles(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def profiles(docs: DataFrame, min_words: int = 40) -> DataFrame:
     """doc_id, hashes, words, runs: arrays over the lines of each text; one row for each doc_id that isn't null."""
     ship(docs.sparkSession)
     return texts(docs).where("doc_id is not null").mapInArrow(_profile(min_words), "doc_id long, hashes array<bigint>, words array<int>, runs array<bigint>")
@@ -168,7 +168,7 @@ def pairs(lines: DataFrame, rare: int = 64, seed_words: int = 4) -> DataFrame:
     return seeds.join(shared.select("run", "key", "earlier"), ["run", "key"]).where("doc_id > earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
 
 
-def deletions(docs: DataFrame, min_words: int = 50, rare: int = 64) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int = 40, rare: int = 64) -> DataFrame:
     """doc_id, gone: sorted positions of the lines to delete, for documents that lose any."""
     lines = cut(profiles(docs, min_words))
     found = pairs(lines, rare)
@@ -184,7 +184,7 @@ def deletions(docs: DataFrame, min_words: int = 50, rare: int = 64) -> DataFrame
     return aligned.select("doc_id", F.explode("gone").alias("line")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("gone"))
 
 
-def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, rare: int = 64) -> DataFrame:
+def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40, rare: int = 64) -> DataFrame:
     """docs with all their columns, the text (null: empty) edited, and _n_lines, _n_deleted."""
     gone = deletions(texts(docs, id_col, text_col), min_words, rare).select(F.col("doc_id").alias("_later"), F.col("gone").alias("_gone"))
 
@@ -204,7 +204,7 @@ def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.join(gone, docs[id_col] == gone["_later"], "left").drop("_later").mapInArrow(edit, schema)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, rare: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40, rare: int = 64) -> DataFrame:
     """doc_id, text (edited), n_lines, n_deleted for every row."""
     edited = edit_documents(texts(docs, id_col, text_col), min_words=min_words, rare=rare)
     return edited.withColumnsRenamed({"_n_lines": "n_lines", "_n_deleted": "n_deleted"})

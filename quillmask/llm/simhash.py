@@ -1,11 +1,19 @@
 """SimHash near-duplicate search.
 
-A text's fingerprint has a bit for each position that is set in over half of its shingles' 64-bit hashes. Two fingerprints link if
-they differ in at most `distance` bits. Fingerprints are cut into `blocks` blocks; by the pigeonhole rule a linked pair agrees in at
-least `blocks - distance` of them, so each choice of that many blocks is a join key, and pairs that meet are verified by their full
-Hamming distance. Copies are merged first (one row per distinct fingerprint). Within a key, links come out as a spanning forest, at
-most one edge per fingerprint, never as all pairs; keys with more than `most` fingerprints are dealt into sub-groups that
-together hold every pair. Components are then found by alternating large-star and small-star steps in the cluster.
+A text's fingerprint has a bit for each position that is set in over half of its shingles' hashes. Two fingerprints link if they
+differ in at most `distance` bits. Fingerprints are cut into blocks so that close pairs share one; pairs that meet in a block are
+verified by their full Hamming distance. Two ways of cutting:
+
+- pigeonhole(blocks, distance), for 64 bits and a small distance: a linked pair agrees in at least `blocks - distance` of the blocks, so
+  each choice of that many is a key and no link is lost.
+- deals(count, blocks), for wide fingerprints: the bits are dealt into `blocks` blocks in `count` ways, each block is a key. Up to
+  `blocks - 1` differing bits a shared block is certain; beyond that it is likely: of 256 bits a pair of word shingles with similarity 0.8
+  differs in 39 on average and shares one of 5 x 14 blocks with a probability of 0.97 (0.9: over 0.999). 64 bits can't tell 0.8 (10 bits
+  on average) from chance when there are millions of documents; 256 bits can.
+
+Copies are merged first (one row per distinct fingerprint). Within a key, links come out as a spanning forest, at most one edge per
+fingerprint, never as all pairs; keys with more than `most` fingerprints are dealt into sub-groups that together hold every pair.
+Components are then found by alternating large-star and small-star steps in the cluster.
 
 Defined cases: A-Z are lower-cased and words are split at ASCII white space; a text with fewer words than a shingle is one shingle,
 one without words (null, empty, blank) has fingerprint zero and links like any other; repeated rows and null ids keep their rows (a
@@ -14,99 +22,167 @@ component whose ids are all null has a null id); an empty table gives an empty r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._base import cut, ship, spread, texts
 
+#: Sub-group tables up to this many rows (of 12 bytes) are broadcast; larger ones are joined by key.
+MOST_HOT = 1_000_000
+_M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit form of the fingerprint."""
+def fingerprint(text: str, words: int = 3, seed: int = 42, width: int = 1) -> np.ndarray:
+    """`width` 64-bit words, signed. One word takes the shingles' hashes as they are, more take them mixed anew for each word."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(width, np.int64)
     n = max(1, len(w) - words + 1)
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) > words else [b" ".join(w)]
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n).view(np.int64)[0])
+    ones = np.zeros(64 * width, np.int64)
+    steps = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(_STEP)
+    for i in range(0, n, 1 << 14):
+        part = hashes[i : i + (1 << 14), None]
+        part = part if width == 1 else _mix(part + steps)
+        ones += np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n).view(np.int64)
+
+
+def node_of(f: np.ndarray) -> np.ndarray:
+    """One signed long for each row of fingerprint words: the word itself, or a hash of several."""
+    x = f.view(np.uint64)
+    out = x[:, 0]
+    for j in range(1, x.shape[1]):
+        out = _mix(out * np.uint64(_STEP)) + x[:, j]
+    return (out if x.shape[1] == 1 else _mix(out)).view(np.int64)
+
+
+def columns(width: int) -> list[str]:
+    return [f"f{j}" for j in range(width)]
+
 
+def _matrix(b: pa.RecordBatch, width: int) -> np.ndarray:
+    return np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns(width)]).astype(np.int64, copy=False).reshape(-1, width)
 
-def hashed(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed long)."""
+
+def hashed(docs: DataFrame, words: int = 3, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, node, f0, f1, ... (signed longs)."""
     ship(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fps = pa.array([fingerprint(t, words) for t in b.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps], names=["doc_id", "fp"])
+            f = np.array([fingerprint(t, words, width=width) for t in b.column("text").to_pylist()], np.int64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(node_of(f)), *(pa.array(c) for c in f.T)], names=["doc_id", "node", *columns(width)])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in columns(width)))
 
 
 def shown(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def masks(blocks: int, distance: int) -> list[int]:
-    """For each choice of blocks that a close pair may agree in, the mask of their bits, as signed longs."""
+def pigeonhole(blocks: int, distance: int) -> list[np.ndarray]:
+    """Bit positions of a 64-bit fingerprint for each choice of blocks that a close pair may agree in."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    each = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [m - (1 << 64) if (m := sum(c)) >> 63 else m for c in combinations(each, blocks - distance)]
-
-
-def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct fingerprints."""
-    if len(fps) == 2:
-        return [(int(fps[0]), int(fps[1]))] if int(np.bitwise_count(np.uint64(fps[0] ^ fps[1]))) <= distance else []
-    out, left = [], fps.view(np.uint64)
+    each = [np.arange(a, b) for a, b in zip(edges, edges[1:], strict=False)]
+    return [np.concatenate(c) for c in combinations(each, blocks - distance)]
+
+
+def deals(count: int, blocks: int, bits: int, seed: int = 11) -> list[np.ndarray]:
+    """Bit positions of the blocks of `count` deals."""
+    rng = np.random.default_rng(seed)
+    return [x for _ in range(count) for x in np.array_split(rng.permutation(bits), blocks)]
+
+
+def keys_of(f: np.ndarray, positions: list[np.ndarray]) -> np.ndarray:
+    """A row of keys for each row of f: the bits at these positions, with the number of the key above them; over 52 bits are hashed."""
+    bits = np.unpackbits(f.view(np.uint8).reshape(len(f), -1), axis=1)
+    out = np.empty((len(f), len(positions)), np.uint64)
+    for t, at in enumerate(positions):
+        x = np.zeros(len(f), np.uint64)
+        for p in at:
+            x = (x << np.uint64(1)) | bits[:, p]
+        out[:, t] = (_mix(x) if len(at) > 52 else x) ^ (np.uint64(t) << np.uint64(52))
+    return out.view(np.int64)
+
+
+def forest(f: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Edges, as rows of f, of a spanning forest of the links among distinct fingerprints."""
+    f = f.view(np.uint64)
+    close = lambda a, b: np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) <= distance
+    if len(f) == 2:
+        return [(0, 1)] if close(f[0], f[1]) else []
+    out, left = [], np.arange(len(f))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             u = queue.pop()
-            near = np.bitwise_count(left ^ u) <= distance
+            near = close(f[left], f[u])
             if near.any():
                 found = left[near]
-                out += [(int(u.astype(np.int64)), x) for x in found.view(np.int64).tolist()]
+                out += [(int(u), x) for x in found.tolist()]
                 queue += list(found)
                 left = left[~near]
     return out
 
 
-def links(fps: DataFrame, distance: int = 3, blocks: int = 6, most: int = 4096) -> DataFrame:
-    """Edges (u, v) that connect what the links connect; fps has one row for each distinct fp."""
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(masks(blocks, distance))])
-    rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.m")
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("t", "m"))).where("n > 1")
-    parts = F.ceil(F.col("n") / most).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    others = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    rows = rows.select("fp", "t", "m", F.explode(others).alias("g")).select("fp", "t", "m", "g.i", "g.j")
-    rows = rows.repartition(spread(fps), "t", "m", "i", "j").sortWithinPartitions("t", "m", "i", "j")
+def links(fps: DataFrame, positions: list[np.ndarray], distance: int, width: int = 1, most: int = 4096) -> DataFrame:
+    """Edges (u, v) of nodes that connect what the links connect; fps has f0, ... once for each distinct fingerprint."""
+    f = columns(width)
+
+    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keys = keys_of(np.ascontiguousarray(_matrix(b, width)), positions)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * len(positions), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in f), lists], names=[*f, "keys"])
+
+    each = fps.select(*f).mapInArrow(keyed, ", ".join(f"{c} long" for c in f) + ", keys array<bigint>").select(*f, F.explode("keys").alias("k"))
+    # Large keys are told by counts that are added up before they are shuffled, so no task has to see one whole.
+    hot = cut(each.groupBy("k").count().where(F.col("count") > most).select("k", F.ceil(F.col("count") / most).cast("int").alias("parts")))
+    n_hot = hot.count()
+    rows = each.select(*f, "k", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    if n_hot:
+        found = each.join(F.broadcast(hot) if n_hot <= MOST_HOT else hot, "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.xxhash64(*f), F.col("parts")).cast("int")
+        others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+        rows = found.select(*f, "k", F.explode(others).alias("g")).select(*f, "k", "g.i", "g.j")
+    rows = rows.repartition(spread(fps), "k", "i", "j").sortWithinPartitions("k", "i", "j")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 5), np.int64)
+        held = np.empty((0, width + 3), np.int64)
 
         def edges(x: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-            found = [e for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True) if b - a > 1 for e in forest(np.ascontiguousarray(x[a:b, 0]), distance)] if len(ends) else []
-            u, v = zip(*found, strict=True) if found else ((), ())
+            u, v = [], []
+            begins = np.r_[0, ends[:-1]]
+            for a, b in zip(begins[ends - begins > 1], ends[ends - begins > 1], strict=True):
+                own = np.ascontiguousarray(x[a:b, :width])
+                if pairs := forest(own, distance):
+                    nodes = node_of(own).tolist()
+                    u += [nodes[i] for i, _ in pairs]
+                    v += [nodes[j] for _, j in pairs]
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for b in it:
-            x = np.vstack([held, np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("fp", "t", "m", "i", "j")])])
-            ends = np.flatnonzero((x[1:, 1:] != x[:-1, 1:]).any(axis=1)) + 1
+            x = np.vstack([held, np.column_stack([_matrix(b, width), *(b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "i", "j"))])])
+            ends = np.flatnonzero((x[1:, width:] != x[:-1, width:]).any(axis=1)) + 1
             last = ends[-1] if len(ends) else 0
             yield edges(x, ends)
             held = x[last:]  # the last group may go on in the next batch
-        yield edges(held, np.array([len(held)]))
+        if len(held):
+            yield edges(held, np.array([len(held)]))
 
     return rows.mapInArrow(run, "u long, v long").distinct()
 
@@ -136,27 +212,34 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, component_id (the smallest doc_id that links reach) for every row."""
-    rows = cut(hashed(docs, words, id_col, text_col))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(fps.select("fp"), distance, blocks))
+def grouped(docs: DataFrame, words: int, distance: int, width: int, positions: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, node, f0, ..., component_id (the smallest doc_id that links reach) for every row."""
+    rows = cut(hashed(docs, words, width, id_col, text_col))
+    fps = cut(rows.groupBy("node", *columns(width)).agg(F.min("doc_id").alias("first")))
+    roots = components(links(fps, positions, distance, width))
     # Few fingerprints have an edge: only theirs are looked up by component.
-    linked = fps.join(roots, fps["fp"] == roots["node"], "inner").select("fp", "first", "root")
-    heads = fps.join(roots.select(F.col("root").alias("fp")).distinct(), "fp", "left_semi").select("fp", "first", F.col("fp").alias("root"))
+    linked = fps.join(roots, "node").select("node", "first", "root")
+    heads = fps.join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi").select("node", "first", F.col("node").alias("root"))
     member = linked.unionByName(heads)
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = member.join(smallest, "root").select("fp", "component_id")
-    named = fps.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", shown(F.col("fp")).alias("fingerprint"), "component_id")
+    found = member.join(smallest, "root").groupBy("node").agg(F.min("component_id").alias("component_id"))
+    named = fps.groupBy("node").agg(F.min("first").alias("first")).join(found, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    return rows.join(named, "node")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, component_id for every row, by 64-bit fingerprints and all links."""
+    found = grouped(docs, words, distance, 1, pigeonhole(blocks, distance), id_col, text_col)
+    return found.select("doc_id", shown(F.col("f0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 44, width: int = 4, count: int = 5, blocks: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of one document of each component: that of the smallest doc_id.
 
-    Rows that repeat a doc_id count as one document, of which one row stays. A component whose ids are all null keeps one row for each fingerprint.
+    By wide fingerprints: 44 of 256 bits is a similarity of about 0.76. Rows that repeat a doc_id count as one document, of which one
+    row stays. A component whose ids are all null keeps one row for each text.
     """
-    found = near_duplicates(docs, words, distance, blocks, id_col, text_col)
+    found = grouped(docs, words, distance, width, deals(count, blocks, 64 * width), id_col, text_col)
     heads = cut(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_head")).agg(F.count("*").alias("_n")))
     kept = docs.join(heads, docs[id_col].eqNullSafe(heads["_head"]))
     once = kept.where("_n = 1").select(*docs.columns)
