@@ -67,7 +67,7 @@ def read(spark, tmp_path, lines=LINES, **options):
 def test_documents_with_gold(spark, tmp_path):
     rows = {r["doc_id"]: r for r in read(spark, tmp_path, id_field="doc_id", gold_field="gold").collect()}
     assert [(s["entity_type"], s["start"], s["stop"], s["id"]) for s in rows["d2"]["gold"]] == [("NAME", 0, 3, "1"), ("COMPANY", 8, 12, None)]
-    assert rows["d2"]["text"] == "Ana met Acme." and rows["d1"]["metadata"] == '{"k":1}'
+    assert rows["d2"]["text"] == "Ana met Acme." and json.loads(rows["d1"]["metadata"]) == {"k": 1}
     assert rows["d3"]["gold"] is None and rows["d4"]["gold"] is None and rows["d5"]["gold"] == []
     assert [r["doc_id"] for r in read(spark, tmp_path).collect()] == [f"doc-{i}" for i in range(5)]
     with pytest.raises(Exception):
