@@ -23,7 +23,7 @@ def drop_anomalous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    edited = line_dedup.edit_documents(docs).drop("_n_lines", "_n_deleted")
+    edited = line_dedup.edit_documents(docs).drop("_n_deleted")
     return edited.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -1,12 +1,16 @@
 """Line dedup: passages that an earlier document holds too are deleted from the later one.
 
-Lines are hashed, long ones in parts of a sentence or more (units() below; a line means such a unit here). Documents that share a rare line (in at most `rare` documents) are paired, each with the first document that
-has the line; what consists of frequent lines only is found by the hashes of runs, the fewest consecutive lines from a
-line on that have `min_words` words (40, so that a passage of 50 words that begins and ends within sentences is found), each paired with the first document that has the run, so no frequency is left out and a
-document has at most two partners for each of its lines. Each pair is aligned by patience diff over its line hashes: lines unique in
-both sides anchor the alignment along a longest increasing sequence, and gaps between anchors are aligned in turn. Aligned
-blocks of consecutive common lines with at least `min_words` words are deleted from the later document, that of greater doc_id.
-A line is never deleted from the first document that holds it, so each passage stays once.
+Texts are cut into lines, long ones at ends of sentences (units() below; a line means such a unit here). The fewest consecutive lines
+from a line on that have `min_words` words are a run; every passage with so many words contains one. 40, so that a passage of 50 words that
+begins and ends within sentences is found. Each run is represented by its line of smallest hash, as in winnowing, so equal runs have equal
+representatives and about a third of the lines are hashed into the search. Lines that one document alone has represent nothing that is
+shared: most fall away here, and only rare ones, held by few documents, and common ones that several have go on. The runs they represent are
+then looked up, each by its own hash, and a document is paired with the first document that has the run. So however frequent a line is it isn't
+left out, and a document has at most one partner for each of its runs.
+
+Each pair is aligned by patience diff over its line hashes: lines unique in both sides anchor the alignment along a longest increasing
+sequence, and gaps between anchors are aligned in turn. Aligned blocks of consecutive common lines with at least `min_words` words are deleted
+from the later document, that of greater doc_id. A line is never deleted from the first document that holds its run, so each passage stays once.
 
 Only hashes and word counts of lines are shuffled for the search; texts are shuffled once, by doc_id, to be edited.
 
@@ -34,61 +38,68 @@ from ._base import cut, ship, texts
 
 #: Words from which a line is cut at the next end of a sentence: few, so that a passage is cut alike wherever it stands in a line.
 CUT = 4
-SENTENCES = re.compile(r"[^.!?]+[.!?]*\s*|[.!?]+\s*").findall
-
-
-def units(text: str) -> list[str]:
-    """Lines, cut after ends of sentences once they have CUT words; joined they are the text."""
-    out = []
-    lines = text.split("\n")
-    for n, line in enumerate(lines, 1):
-        end = "\n" if n < len(lines) else ""
-        if len(line) > 2 * CUT and len(line.split()) > 2 * CUT:
+PIECES = re.compile(r"[^.!?\n]+[.!?]*[^\S\n]*\n?|[.!?]+[^\S\n]*\n?|\n").findall
+_B = np.uint64(0x9E3779B97F4A7C15)
+_UNB = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def units(text: str) -> tuple[list[str], list[int]]:
+    """Lines, cut after ends of sentences once they have CUT words, and their numbers of words; joined they are the text."""
+    out, words = [], []
+    held, have = "", 0
+    for s in PIECES(text):
+        held = held + s if held else s
+        have += len(s.split())
+        if have >= CUT or s[-1] == "\n":
+            out.append(held), words.append(have)
             held, have = "", 0
-            for s in SENTENCES(line):
-                held += s
-                have += len(s.split())
-                if have >= CUT:
-                    out.append(held)
-                    held, have = "", 0
-            out.append(held + end)
-        else:
-            out.append(line + end)
-    return out
-
-
-def _lines(text: str) -> tuple[list[int], list[int]]:
-    """Signed hash and word count of each unit."""
-    lines = [x.strip() for x in units(text)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, [x.encode("utf-8", "surrogatepass") for x in lines]), np.uint64, len(lines)).view(np.int64).tolist()
-    return hashes, [len(x.split()) for x in lines]
-
-
-def runs(hashes: list[int], words: list[int], least: int) -> list[int]:
-    """For each line that has words, the hash of the fewest lines from it on with `least` words, if there are so many left."""
-    out, end, have = [], 0, 0
-    packed = np.array(hashes, np.int64).tobytes()
-    for start in range(len(hashes)):
-        while have < least and end < len(hashes):
-            have += words[end]
-            end += 1
-        if have < least:
-            break
-        if words[start]:
-            out.append(xxhash.xxh64_intdigest(packed[8 * start : 8 * end], 1))
-        have -= words[start]
-    return out
+    if held:
+        out.append(held), words.append(have)
+    return out, words
+
+
+def hashes_of(lines: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, [x.strip().encode("utf-8", "surrogatepass") for x in lines]), np.uint64, len(lines))
+
+
+def runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run, the hash of its representative line and its own hash. Lines without words don't take part."""
+    h, w = hashes[words > 0], words[words > 0].astype(np.int64)
+    total = np.cumsum(w)
+    ends = np.searchsorted(total, total - w + least) + 1
+    n = int(np.searchsorted(ends, len(h), "right"))  # ends rise: the first n runs are complete
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    starts, ends = np.arange(n), ends[:n]
+    least_line = h[:n].copy()
+    for d in range(1, int((ends - starts).max())):
+        in_run = starts + d < ends
+        least_line[in_run] = np.minimum(least_line[in_run], h[starts[in_run] + d])
+    powers = np.cumprod(np.full(len(h), _B))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers)])
+    own = (sums[ends] - sums[:n]) * np.cumprod(np.full(n, _UNB))
+    return least_line, own ^ (own >> np.uint64(31))
 
 
 def _profile(least: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            hashes, words, seeds = [], [], []
+            hashes, words, keys, blobs, sizes = [], [], [], [], [0]
             for t in b.column("text").to_pylist():
-                h, w = _lines(t)
-                hashes.append(h), words.append(w)
-                seeds.append(np.array(runs(h, w, least), np.uint64).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(seeds, pa.list_(pa.int64()))], names=["doc_id", "hashes", "words", "runs"])
+                lines, w = units(t)
+                h, w = hashes_of(lines), np.array(w, np.int32)
+                hashes.append(h.view(np.int64)), words.append(w)
+                first, own = runs(h, w, least)
+                order = np.lexsort((own, first))
+                first, own = first[order], own[order]
+                new = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.empty(0, np.int64)
+                keys.append(first[new].view(np.int64))
+                packed, edges = own.tobytes(), [*(8 * new).tolist(), 8 * len(own)]
+                blobs += [packed[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+                sizes.append(sizes[-1] + len(new))
+            lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, kind)]).astype(kind)))
+            seeds = pa.StructArray.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.int64)]).astype(np.int64)), pa.array(blobs, pa.binary())], ["line", "runs"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists(hashes, np.int64), lists(words, np.int32), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), seeds)], names=["doc_id", "hashes", "words", "seeds"])
 
     return run
 
@@ -152,26 +163,32 @@ def blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int
 
 
 def profiles(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """doc_id, hashes, words, runs: arrays over the lines of each text; one row for each doc_id that isn't null."""
+    """doc_id, hashes and words of each line, seeds: representative lines with their packed runs; one row for each row whose doc_id isn't null."""
     ship(docs.sparkSession)
-    return texts(docs).where("doc_id is not null").mapInArrow(_profile(min_words), "doc_id long, hashes array<bigint>, words array<int>, runs array<bigint>")
+    return texts(docs).where("doc_id is not null").mapInArrow(_profile(min_words), "doc_id long, hashes array<bigint>, words array<int>, seeds array<struct<line:bigint,runs:binary>>")
+
+
+def _unpacked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        parts = [np.frombuffer(x, np.int64) for x in b.column("runs").to_pylist()]
+        docs = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in parts])
+        yield pa.RecordBatch.from_arrays([pa.array(docs.astype(np.int64)), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]))], names=["doc_id", "run"])
 
 
-def pairs(lines: DataFrame, rare: int = 64, seed_words: int = 4) -> DataFrame:
-    """later, earlier: each document with the first holders of its rare lines (of `seed_words` words or more) and of its runs."""
-    kinds = F.concat(
-        F.transform(F.filter(F.arrays_zip(F.col("hashes").alias("h"), F.col("words").alias("w")), lambda x: x["w"] >= seed_words), lambda x: F.struct(F.lit(False).alias("run"), x["h"].alias("key"))),
-        F.transform("runs", lambda x: F.struct(F.lit(True).alias("run"), x.alias("key"))),
-    )
-    seeds = lines.select("doc_id", F.explode(F.array_distinct(kinds)).alias("s")).select("doc_id", "s.run", "s.key")
-    shared = seeds.groupBy("run", "key").agg(F.min("doc_id").alias("earlier"), F.count("*").alias("n"), F.max("doc_id").alias("top")).where("top > earlier").where((F.col("n") <= rare) | F.col("run"))
-    return seeds.join(shared.select("run", "key", "earlier"), ["run", "key"]).where("doc_id > earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
+def pairs(lines: DataFrame) -> DataFrame:
+    """later, earlier: each document with the first holders of its runs."""
+    seeds = lines.select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.line", "s.runs")
+    several = (F.min("doc_id").alias("earlier"), F.max("doc_id").alias("top"))
+    shared = seeds.select("doc_id", "line").groupBy("line").agg(*several).where("top > earlier").select("line")
+    shared_runs = cut(seeds.join(shared, "line", "left_semi").select("doc_id", "runs").mapInArrow(_unpacked, "doc_id long, run long"))
+    first = shared_runs.groupBy("run").agg(*several).where("top > earlier").select("run", "earlier")
+    return shared_runs.join(first, "run").where("doc_id > earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
 
 
-def deletions(docs: DataFrame, min_words: int = 40, rare: int = 64) -> DataFrame:
+def deletions(docs: DataFrame, min_words: int = 40) -> DataFrame:
     """doc_id, gone: sorted positions of the lines to delete, for documents that lose any."""
     lines = cut(profiles(docs, min_words))
-    found = pairs(lines, rare)
+    found = pairs(lines)
     first = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("a"))
     later = lines.select(F.col("doc_id").alias("later"), F.col("hashes").alias("b"), "words")
 
@@ -181,30 +198,30 @@ def deletions(docs: DataFrame, min_words: int = 40, rare: int = 64) -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column("later"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
     aligned = found.join(later, "later").join(first, "earlier").select("later", "a", "b", "words").mapInArrow(align, "doc_id long, gone array<int>")
-    return aligned.select("doc_id", F.explode("gone").alias("line")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    return aligned.select("doc_id", F.explode("gone").alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
-def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40, rare: int = 64) -> DataFrame:
-    """docs with all their columns, the text (null: empty) edited, and _n_lines, _n_deleted."""
-    gone = deletions(texts(docs, id_col, text_col), min_words, rare).select(F.col("doc_id").alias("_later"), F.col("gone").alias("_gone"))
+def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
+    """docs with all their columns, the text (null: empty) edited, and _n_deleted lines."""
+    gone = deletions(texts(docs, id_col, text_col), min_words).select(F.col("doc_id").alias("_later"), F.col("gone").alias("_gone"))
 
     def edit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out, total, lost = [], [], []
+            out, lost = [], []
             for t, g in zip(b.column(text_col).to_pylist(), b.column("_gone").to_pylist(), strict=True):
-                lines = units(t or "")
-                total.append(len(lines)), lost.append(len(g or ()))
-                drop = set(g or ())
-                out.append("".join([x for i, x in enumerate(lines) if i not in drop]))
+                lost.append(len(g or ()))
+                if g:
+                    drop = set(g)
+                    t = "".join([x for i, x in enumerate(units(t or "")[0]) if i not in drop])
+                out.append(t or "")
             new = {text_col: pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in names), pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "_n_lines", "_n_deleted"])
+            yield pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in names), pa.array(lost, pa.int64())], names=[*names, "_n_deleted"])
 
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_deleted", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_n_deleted", T.LongType())])
     return docs.join(gone, docs[id_col] == gone["_later"], "left").drop("_later").mapInArrow(edit, schema)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40, rare: int = 64) -> DataFrame:
-    """doc_id, text (edited), n_lines, n_deleted for every row."""
-    edited = edit_documents(texts(docs, id_col, text_col), min_words=min_words, rare=rare)
-    return edited.withColumnsRenamed({"_n_lines": "n_lines", "_n_deleted": "n_deleted"})
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
+    """doc_id, text (edited), n_deleted (lines) for every row."""
+    return edit_documents(texts(docs, id_col, text_col), min_words=min_words).withColumnRenamed("_n_deleted", "n_deleted")
