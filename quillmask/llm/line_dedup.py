@@ -181,7 +181,8 @@ def pairs(lines: DataFrame) -> DataFrame:
     several = (F.min("doc_id").alias("earlier"), F.max("doc_id").alias("top"))
     shared = seeds.select("doc_id", "line").groupBy("line").agg(*several).where("top > earlier").select("line")
     shared_runs = cut(seeds.join(shared, "line", "left_semi").select("doc_id", "runs").mapInArrow(_unpacked, "doc_id long, run long"))
-    first = shared_runs.groupBy("run").agg(*several).where("top > earlier").select("run", "earlier")
+    # Written before it is joined: a join of two plain shuffles can split the rows of a run that very many documents share.
+    first = cut(shared_runs.groupBy("run").agg(*several).where("top > earlier").select("run", "earlier"))
     return shared_runs.join(first, "run").where("doc_id > earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
 
 
