@@ -223,7 +223,8 @@ def grouped(docs: DataFrame, words: int, distance: int, width: int, positions: l
     member = linked.unionByName(heads)
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
     found = member.join(smallest, "root").groupBy("node").agg(F.min("component_id").alias("component_id"))
-    named = fps.groupBy("node").agg(F.min("first").alias("first")).join(found, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    # Written before it is joined: a join of two plain shuffles can split the rows of a fingerprint that very many documents share.
+    named = cut(fps.groupBy("node").agg(F.min("first").alias("first")).join(found, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id")))
     return rows.join(named, "node")
 
 
