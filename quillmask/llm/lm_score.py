@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,49 +47,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes:
-    """64-bit hashes of words, remembered up to a bound."""
+class Lexicon:
+    """Numbers words as they come, up to a bound, and keeps what is known about each of them in arrays: `facts` makes those of new words."""
 
-    def __init__(self, remember: int = 400_000):
+    def __init__(self, facts: Callable[[list[bytes]], list[np.ndarray]], remember: int = 200_000):
         self.known: dict[bytes, int] = {}
-        self.remember = remember
+        self.facts, self.remember = facts, remember
+        self.arrays: list[np.ndarray] = []
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        """Numbers, which hold until the next call."""
         known = self.known
         if len(known) > self.remember:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            self.arrays = []
+        if new := list(set(words) - known.keys()):
+            first, more = len(known), self.facts(new)
+            known.update(zip(new, range(first, first + len(new)), strict=True))
+            size = len(self.arrays[0]) if self.arrays else 0
+            if first + len(new) > size:  # doubled, so that adding words stays cheap
+                room = [np.empty(max(2 * size, first + len(new)), x.dtype) for x in more]
+                for x, old in zip(room, self.arrays, strict=False):
+                    x[:first] = old[:first]
+                self.arrays = room
+            for x, y in zip(self.arrays, more, strict=True):
+                x[first : first + len(new)] = y
+        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 #: Kinds of entries: counts of words, of histories, of histories' distinct followers, and of pairs.
 WORDS, HISTORIES, FOLLOWERS, PAIRS = range(4)
 
 
-def keys_of(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the words, of their histories and of the pairs of texts that begin at `starts`; a text's first history is an end token.
-
-    The low 56 bits of a pair's key are 24 bits of its history's key and 32 of its own, so a history's pairs share a segment.
-    """
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[starts] = np.uint64(xxhash.xxh64_intdigest(END))
+def word_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From words' hashes their keys as words and as histories."""
     with np.errstate(over="ignore"):
-        history = mix(before * np.uint64(5) + np.uint64(2))
-        pair = (mix(history + h) & np.uint64(0xFFFFFFFF)) | ((history & np.uint64(0xFFFFFF)) << np.uint64(32))
-        return mix(h + np.uint64(1)), history, pair
+        return mix(h + np.uint64(1)), mix(h * np.uint64(5) + np.uint64(2))
+
+
+def pair_keys(history: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The low 56 bits of a pair's key are 24 bits of its history's key and 32 of its own, so a history's pairs share a segment."""
+    return (mix(history + h) & np.uint64(0xFFFFFFFF)) | ((history & np.uint64(0xFFFFFF)) << np.uint64(32))
+
+
+def histories(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The number of the word before each; a text's first history is the end token, which is the last word of all texts."""
+    before = np.empty_like(numbers)
+    before[1:] = numbers[:-1]
+    before[starts] = numbers[-1]
+    return before
 
 
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.int64)
+    return ((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.uint16)
 
 
-def _probes(keys: np.ndarray, kind: int, level: int, m: np.ndarray | np.uint64, hashes: int) -> list[np.ndarray]:
-    with np.errstate(over="ignore"):
-        x = mix(keys * np.uint64(2 * level + 1) + np.uint64(level + 64 * kind))
-        step = (x >> np.uint64(33)) | np.uint64(1)
-        return [((x >> np.uint64(1)) + np.uint64(i) * step) % m for i in range(hashes)]
+def _probes(keys: np.ndarray, kind: int, level: int, m: np.ndarray | np.uint64, hashes: int) -> Iterator[np.ndarray]:
+    """Bit positions below m, which is less than 2^32."""
+    low = np.uint64(0xFFFFFFFF)
+    x = mix(keys * np.uint64(2 * level + 1) + np.uint64(level + 64 * kind))
+    a, step = x >> np.uint64(32), (x & low) | np.uint64(1)
+    for i in range(hashes):
+        yield (((a + np.uint64(i) * step) & low) * m) >> np.uint64(32)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -110,7 +133,7 @@ def build(words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndar
     histories, at = np.unique(pairs[0] >> np.uint64(32), return_inverse=True)
     entries = [(WORDS, *words), (PAIRS, *pairs), (HISTORIES, histories, np.bincount(at, pairs[1], len(histories))), (FOLLOWERS, histories, np.bincount(at, minlength=len(histories)))]
     entries = [(kind, keys, level_of(counts)) for kind, keys, counts in entries]
-    m = max(64, 8 * math.ceil(bits * sum(int(levels.sum()) for _, _, levels in entries) / 8))
+    m = min(max(64, 8 * math.ceil(bits * sum(int(levels.sum()) for _, _, levels in entries) / 8)), (1 << 32) - 8)
     flags = np.zeros(m, np.uint8)
     for kind, keys, levels in entries:
         for level in range(1, int(levels.max(initial=0)) + 1):
@@ -130,50 +153,69 @@ class Filter:
 
     def levels(self, kind: int, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """Levels of the keys in these segments; -1 for keys of others."""
-        at = segment - self.lo
+        at = segment.astype(np.int64) - self.lo
         out = np.where((at >= 0) & (at < len(self.sizes)), 0, -1).astype(np.int8)
         live = np.flatnonzero(out == 0)
-        keys = keys & LOW[kind]
+        k, at = (keys & LOW[kind])[live], at[live]
+        m, start = self.sizes[at], self.starts[at]
         level = 1
         while len(live) and level < 64:
-            k, a = keys[live], at[live]
-            m, start = self.sizes[a], self.starts[a]
             hit = np.ones(len(live), bool)
             for p in _probes(k, kind, level, m, self.hashes):
-                p = p + start
+                p += start
                 hit &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+            live, k, m, start = live[hit], k[hit], m[hit], start[hit]
             out[live] = level
             level += 1
         return out
 
-    def all_levels(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Rows by kind."""
-        word, history, pair = keys_of(h, starts)
-        own, its = segment_of(word, self.segments), segment_of(history, self.segments)
-        return np.stack([self.levels(WORDS, word, own), self.levels(HISTORIES, history, its), self.levels(FOLLOWERS, history, its), self.levels(PAIRS, pair, its)])
+
+class Prober:
+    """Levels of the words of texts and of their pairs, from some segments; words are probed once and remembered, pairs once a chunk."""
+
+    def __init__(self, part: Filter, more: Callable[[list[bytes]], list[np.ndarray]] = lambda words: []):
+        def facts(words: list[bytes]) -> list[np.ndarray]:
+            h = hashes_of(words)
+            word, history = word_keys(h)
+            its = segment_of(history, part.segments)
+            return [h, history, part.levels(WORDS, word, segment_of(word, part.segments)), part.levels(HISTORIES, history, its), part.levels(FOLLOWERS, history, its), *more(words)]
+
+        self.part, self.lexicon = part, Lexicon(facts)
+
+    def levels(self, words: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers; rows of levels by kind."""
+        at = self.lexicon.of(words)
+        h, history, own, as_history, followers = self.lexicon.arrays[:5]
+        before = histories(at, starts)
+        distinct, back = np.unique((before.astype(np.int64) << 32) | at, return_inverse=True)
+        past = history[distinct >> 32]
+        pairs = self.part.levels(PAIRS, pair_keys(past, h[distinct & 0xFFFFFFFF]), segment_of(past, self.part.segments))
+        return at, np.stack([own[at], as_history[before], followers[before], pairs[back]])
+
+
+#: value_of() of each level.
+VALUES = value_of(np.arange(64))
 
 
 def log_probabilities(levels: np.ndarray, n: int, v: int) -> np.ndarray:
     """log10 probability of each token: pairs smoothed by their history's followers (Witten-Bell), words by the base's added tenth."""
-    word, history, followers, pair = (value_of(levels[kind]) for kind in (WORDS, HISTORIES, FOLLOWERS, PAIRS))
+    word, history, followers, pair = VALUES[levels]
     base = (word + 0.1) / (n + 0.1 * (v + 1))
     followers = np.minimum(np.maximum(followers, 1), np.maximum(history, 1))
     pair = np.minimum(pair, history)
     return np.log10(np.where(history > 0, (pair + followers * base) / (history + followers), base))
 
 
-def chunks(batch: list[str], hashed: Hashes, most: int = 300_000) -> Iterator[tuple[int, list[list[bytes]], np.ndarray, np.ndarray]]:
-    """Some texts at a time: number of the first, tokens, all tokens' hashes, where each text starts."""
+def chunks(batch: list[str], most: int = 300_000) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """Some texts at a time: number of the first, all their tokens, where each text starts."""
     i = 0
     while i < len(batch):
-        first, words, n = i, [], 0
-        while i < len(batch) and n < most:
-            words.append(tokens(batch[i]))
-            n += len(words[-1])
+        first, words, starts = i, [], []
+        while i < len(batch) and len(words) < most:
+            starts.append(len(words))
+            words += tokens(batch[i])
             i += 1
-        starts = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]]).astype(np.int64)
-        yield first, words, hashed.of([w for ws in words for w in ws]), starts
+        yield first, words, np.array(starts, np.int64)
 
 
 def _count_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,31 +238,44 @@ def _count_ngrams(segments: int):
     """Rows (segment, part): the distinct words' and pairs' keys of some texts, with counts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, words, pairs, n = Hashes(), [], [], 0
-
-        def sorted_out(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Distinct keys by segment, their counts and where each segment begins; a key's segment goes on top of its low 56 bits for sorting."""
-            order = np.lexsort((keys, own))
-            keys, own = keys[order], own[order]
-            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])]) if len(keys) else np.empty(0, np.int64)
-            return keys[new], np.diff(np.r_[new, len(keys)]), np.searchsorted(own[new], np.arange(segments + 1))
+        words, pairs, n = [], [], 0
+
+        def facts(new: list[bytes]) -> list[np.ndarray]:
+            h = hashes_of(new)
+            word, history = word_keys(h)
+            return [h, word & LOW[WORDS], segment_of(word, segments), history, segment_of(history, segments)]
+
+        lexicon = Lexicon(facts)
+
+        def sorted_out(keys: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            """For each segment its distinct keys and their counts."""
+            keys = keys[np.argsort(own, kind="stable")]
+            found, at = [], 0
+            for size in np.bincount(own, minlength=segments).tolist():
+                part = np.sort(keys[at : at + size])
+                new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if size else np.empty(0, np.int64)
+                found.append((part[new], np.diff(np.r_[new, size])))
+                at += size
+            return found
 
         def out() -> pa.RecordBatch:
             sides = [sorted_out(np.concatenate([k for k, _ in side]), np.concatenate([o for _, o in side])) for side in (words, pairs)] if words else []
             rows = []
             for s in range(segments) if sides else ():
-                cut_out = [(k[e[s] : e[s + 1]], c[e[s] : e[s + 1]]) for k, c, e in sides]
+                cut_out = [side[s] for side in sides]
                 if any(len(k) for k, _ in cut_out):
                     rows.append((s, b"".join(_packed(*x) for x in cut_out)))
             words.clear(), pairs.clear()
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["segment", "part"])
 
         for b in it:
-            for _, _, h, starts in chunks(b.column("text").to_pylist(), hashed):
-                word, history, pair = keys_of(h, starts)
-                words.append((word & LOW[WORDS], segment_of(word, segments).astype(np.int32)))
-                pairs.append((pair, segment_of(history, segments).astype(np.int32)))
-                n += len(h)
+            for _, tokens_, starts in chunks(b.column("text").to_pylist()):
+                at = lexicon.of(tokens_)
+                h, word, own, history, its = lexicon.arrays
+                before = histories(at, starts)
+                words.append((word[at], own[at]))
+                pairs.append((pair_keys(history[before], h[at]), its[before]))
+                n += len(at)
                 if n > 3_000_000:
                     yield out()
                     n = 0
@@ -268,7 +323,7 @@ def segments_of(train: DataFrame, segments: int, bits: float, hashes: int) -> Da
     return parts.groupBy("segment").applyInArrow(make, "segment long, bytes binary")
 
 
-def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = 400_000, bits: float = 8.0, hashes: int = 4, segment_keys: int = 2_000_000, broadcast_mb: int = 256) -> DataFrame:
+def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = 200_000, bits: float = 8.0, hashes: int = 3, segment_keys: int = 2_000_000, broadcast_mb: int = 256) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row; trains: which rows are learnt from, over doc_id and text."""
     spark = docs.sparkSession
     ship(spark)
@@ -311,22 +366,23 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, hashed = top.value, last.value, Hashes()
+        known = top.value
+        prober = Prober(last.value, lambda words: [np.fromiter((known.get(w, math.nan) for w in words), np.float64, len(words))])
         for b in it:
             out, rest = [], []
             batch, before = b.column("text").to_pylist(), b.column("levels").to_pylist()
-            for first, docs, h, starts in chunks(batch, hashed):
-                p = np.add.reduceat(log_probabilities(_probe(part, h, starts, before[first : first + len(docs)]), max(n, 1), v), starts).tolist()
-                for i, words in enumerate(docs):
-                    base, n_known, left = 0.0, 0, []
-                    for w, k in Counter(words).items():
-                        if (q := known.get(w)) is not None:
-                            base += k * q
-                            n_known += k
-                        else:
-                            left.append({"word": w, "n": k})
-                    out.append((xxhash.xxh64_intdigest(batch[first + i].encode("utf-8", "surrogatepass")) - (1 << 63), len(words), n_known, base, p[i]))
-                    rest.append(left)
+            for first, words, starts in chunks(batch):
+                ends = [*starts[1:].tolist(), len(words)]
+                at, levels = _merged(prober, words, starts, before[first : first + len(starts)])
+                share = prober.lexicon.arrays[5][at]
+                other = np.isnan(share)
+                p = np.add.reduceat(log_probabilities(levels, max(n, 1), v), starts).tolist()
+                base = np.add.reduceat(np.where(other, 0.0, share), starts).tolist()
+                n_other = np.add.reduceat(other.astype(np.int64), starts).tolist()
+                for i, (start, end) in enumerate(zip(starts.tolist(), ends, strict=True)):
+                    left = Counter([words[start + k] for k in np.flatnonzero(other[start:end]).tolist()]) if n_other[i] else {}
+                    out.append((xxhash.xxh64_intdigest(batch[first + i].encode("utf-8", "surrogatepass")) - (1 << 63), end - start, end - start - n_other[i], base[i], p[i]))
+                    rest.append([{"word": w, "n": k} for w, k in left.items()])
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(rest, kind)], names=["doc_id", "key", "n_tokens", "n_known", "base_score", "score", "rest"])
 
@@ -356,20 +412,21 @@ def _sent(spark, made: DataFrame, lo: int, hi: int, segments: int, hashes: int):
     return spark.sparkContext.broadcast(Filter(lo, segments, [parts.get(s, bytes(8)) for s in range(lo, hi)], hashes))
 
 
-def _probe(part: Filter, h: np.ndarray, starts: np.ndarray, before: list[bytes | None]) -> np.ndarray:
-    found = part.all_levels(h, starts)
+def _merged(prober: Prober, words: list[bytes], starts: np.ndarray, before: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers, and their levels with those that earlier passes have found."""
+    at, found = prober.levels(words, starts)
     if before and before[0] is not None:
         found = np.maximum(found, np.concatenate([np.frombuffer(x, np.int8).reshape(4, -1) for x in before], axis=1))
-    return found
+    return at, found
 
 
 def _prober(sent):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, hashed = sent.value, Hashes()
+        prober = Prober(sent.value)
         for b in it:
             batch, before, levels = b.column("text").to_pylist(), b.column("levels").to_pylist(), []
-            for first, docs, h, starts in chunks(batch, hashed):
-                found = _probe(part, h, starts, before[first : first + len(docs)])
+            for first, words, starts in chunks(batch):
+                _, found = _merged(prober, words, starts, before[first : first + len(starts)])
                 levels += [x.tobytes() for x in np.split(found, starts[1:], axis=1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(levels, pa.binary())], names=["doc_id", "text", "levels"])
 
