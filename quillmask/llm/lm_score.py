@@ -254,18 +254,21 @@ def _count_ngrams(segments: int):
             for size in np.bincount(own, minlength=segments).tolist():
                 part = np.sort(keys[at : at + size])
                 new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if size else np.empty(0, np.int64)
-                found.append((part[new], np.diff(np.r_[new, size])))
+                found.append((part[new], np.diff(np.r_[new, size]).astype(np.int32)))
                 at += size
             return found
 
         def out() -> pa.RecordBatch:
-            sides = [sorted_out(np.concatenate([k for k, _ in side]), np.concatenate([o for _, o in side])) for side in (words, pairs)] if words else []
+            sides = []
+            for side in (words, pairs) if words else ():
+                keys, own = (np.concatenate(x) for x in zip(*side, strict=True))
+                side.clear()
+                sides.append(sorted_out(keys, own))
             rows = []
             for s in range(segments) if sides else ():
                 cut_out = [side[s] for side in sides]
                 if any(len(k) for k, _ in cut_out):
                     rows.append((s, b"".join(_packed(*x) for x in cut_out)))
-            words.clear(), pairs.clear()
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["segment", "part"])
 
         for b in it:
@@ -276,7 +279,7 @@ def _count_ngrams(segments: int):
                 words.append((word[at], own[at]))
                 pairs.append((pair_keys(history[before], h[at]), its[before]))
                 n += len(at)
-                if n > 3_000_000:
+                if n > 1_500_000:
                     yield out()
                     n = 0
         yield out()
@@ -363,13 +366,11 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
         state = cut(state.mapInArrow(_prober(_sent(spark, made, lo, hi, segments, hashes)), "doc_id long, text string, levels binary"))
     last = _sent(spark, made, *blocks[-1], segments, hashes)
 
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
-
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = top.value
         prober = Prober(last.value, lambda words: [np.fromiter((known.get(w, math.nan) for w in words), np.float64, len(words))])
         for b in it:
-            out, rest = [], []
+            out, rest, rest_n, sizes = [], [], [], [0]
             batch, before = b.column("text").to_pylist(), b.column("levels").to_pylist()
             for first, words, starts in chunks(batch):
                 ends = [*starts[1:].tolist(), len(words)]
@@ -382,9 +383,12 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
                 for i, (start, end) in enumerate(zip(starts.tolist(), ends, strict=True)):
                     left = Counter([words[start + k] for k in np.flatnonzero(other[start:end]).tolist()]) if n_other[i] else {}
                     out.append((xxhash.xxh64_intdigest(batch[first + i].encode("utf-8", "surrogatepass")) - (1 << 63), end - start, end - start - n_other[i], base[i], p[i]))
-                    rest.append([{"word": w, "n": k} for w, k in left.items()])
+                    rest += left.keys()
+                    rest_n += left.values()
+                    sizes.append(len(rest))
             cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(rest, kind)], names=["doc_id", "key", "n_tokens", "n_known", "base_score", "score", "rest"])
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(rest_n, pa.int32())], ["word", "n"]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), lists], names=["doc_id", "key", "n_tokens", "n_known", "base_score", "score", "rest"])
 
     scored = state.mapInArrow(run, "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,n:int>>")
     # One row for the document itself, under a word that isn't one and that no other document has, and one for each of its other words.
