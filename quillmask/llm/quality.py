@@ -2,8 +2,8 @@
 
 Each text gets counts that quality rules use (words, symbols, repeated lines, repeated 8-word windows, capitals, exclamation marks,
 words said twice in a row).
-The base rule uses words and repeats, the forest the rates of symbols, words in capitals, marks and echoes. Trees that split a random statistic at a random value are grown on a bounded sample of labelled rows; a text that random
-splits cut off early is anomalous, score 2^(-mean path length / expected path length). The threshold is calibrated on all
+The base rule uses words and repeats, the forest the rates of symbols, words in capitals, marks and echoes. Trees that split a
+random statistic at a random value are grown on a bounded sample of labelled rows; a text that random splits cut off early is anomalous, score 2^(-mean path length / expected path length). The threshold is calibrated on all
 labelled rows: of the cuts that lose at most `clean_loss` of the good ones, the one that rejects most bad ones.
 
 Sample: the `sample` labelled rows of smallest hash, of which bad ones make up at most `bad_share` (a forest isolates
@@ -151,10 +151,10 @@ def base_failed() -> str:
     return "(n_words < 20 or 100 * n_repeat_words > 30 * n_words)"
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = 8192, bad_share: float = 0.06, clean_loss: float = 0.004) -> tuple[Forest | None, float]:
-    """Forest and threshold from stats joined with labels (doc_id, quality 1 good, 0 bad)."""
+def fit(stats: DataFrame, labels: DataFrame, sample: int = 8192, bad_share: float = 0.06, clean_loss: float = 0.004, base: bool = True) -> tuple[Forest | None, float]:
+    """Forest and threshold from stats joined with labels (doc_id, quality 1 good, 0 bad); base: leave out what the base rule rejects anyway."""
     labels = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = stats.where(f"not {base_failed()}").join(labels, "doc_id")
+    known = (stats.where(f"not {base_failed()}") if base else stats).join(labels, "doc_id")
     pick = lambda q, n: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), *COUNTS).limit(n).select(*COUNTS).toPandas()
     good, bad = pick(1, int(sample * (1 - bad_share))), pick(0, int(sample * bad_share))
     if good.empty or bad.empty:
@@ -181,14 +181,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: float) -> DataFrame:
-    """The rows of docs, with all their columns, that judge() keeps. Counts are made twice instead of shuffling the texts."""
-    forest, threshold = fit(cut(statistics(docs, id_col, text_col)), labels, **bounds)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: bool = True, **bounds: float) -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps; without the base rule the forest decides alone, so that short clean texts stay.
+
+    Counts are made twice instead of shuffling the texts.
+    """
+    forest, threshold = fit(cut(statistics(docs, id_col, text_col)), labels, base=base, **bounds)
 
     def keeps(batch: list[str]) -> list[bool]:
         c = dict(zip(COUNTS, np.array([counts(t) for t in batch], np.int64).reshape(-1, len(COUNTS)).T, strict=True))
         anomaly = forest.score(features(c)) if forest else np.zeros(len(batch))
-        failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
+        failed = base & ((c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"]))
         return (~failed & (anomaly < threshold)).tolist()
 
     return filtered(docs, keeps, text_col)
