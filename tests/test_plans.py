@@ -54,7 +54,7 @@ LINES = [
     {"doc_id": "d2", "text": "placeholder", "gold": "##NAME;1;Ana@@ met ##COMPANY;;Acme@@."},
     {"doc_id": "d3", "text": "no gold"},
     {"doc_id": "d4", "text": "empty list", "gold": []},
-    {"doc_id": "d5", "text": "mail a@b.com", "gold": "plain string, no block"},
+    {"doc_id": "d5", "text": "replaced by its gold text", "gold": "mail a@b.com, no block"},
 ]
 
 
