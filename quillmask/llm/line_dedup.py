@@ -1,23 +1,23 @@
 """Line dedup: passages that an earlier document holds too are deleted from the later one.
 
-Texts are cut into lines, long ones at ends of sentences (units() below; a line means such a unit here). The fewest consecutive lines
-from a line on that have `min_words` words are a run; every passage with so many words contains one. 40, so that a passage of 50 words that
-begins and ends within sentences is found. Each run is represented by its line of smallest hash, as in winnowing, so equal runs have equal
-representatives and about a third of the lines are hashed into the search. Lines that one document alone has represent nothing that is
-shared: most fall away here, and only rare ones, held by few documents, and common ones that several have go on. The runs they represent are
-then looked up, each by its own hash, and a document is paired with the first document that has the run. So however frequent a line is it isn't
-left out, and a document has at most one partner for each of its runs.
-
-Each pair is aligned by patience diff over its line hashes: lines unique in both sides anchor the alignment along a longest increasing
-sequence, and gaps between anchors are aligned in turn. Aligned blocks of consecutive common lines with at least `min_words` words are deleted
-from the later document, that of greater doc_id. A line is never deleted from the first document that holds its run, so each passage stays once.
-
-Only hashes and word counts of lines are shuffled for the search; texts are shuffled once, by doc_id, to be edited.
-
-Defined cases: null and empty texts come back as empty texts; lines without words are equal to each other and count no words;
-white space around a line doesn't matter to its hash; passages within one document stay; repeated rows with one doc_id are
-edited alike and aren't compared with each other; rows with null ids are returned as they are (a null text as an empty one); an empty table gives an
-empty result; other columns are ignored.
+A window is `min_words` consecutive words of a document, wherever they stand in its lines and sentences. A word of a document is deleted if it lies in
+a window that a document of smaller doc_id has too: so a passage goes word by word, whether or not it begins and ends within sentences, has
+punctuation at all, stands in another order or is repeated in either document. A window is never deleted from the first document that
+holds it, unless it overlaps one that a still earlier document has; each word of a passage stays once.
+
+Search: each window is represented by the smallest hash of the word sequences of half its length in it, as in winnowing, so equal windows have equal
+representatives, and about a tenth of the sequences represent any. Those that two documents or more have go into a Bloom filter, which can only let
+through too many, never too few. Windows in a row with one representative are a group; groups that passed the filter are looked up by
+the hash of their windows, and all windows of a group that an earlier document has too are gone. Where a representative has different groups, which
+may have some windows in common, the windows of each group's first holder are looked up one by one; other holders' groups are gone
+anyway. So every window that an earlier document has is found, and none is left out for being frequent.
+
+Only hashes are shuffled for the search; texts are read three times, and shuffled once, by doc_id, to be edited.
+
+Defined cases: null and empty texts come back as empty texts; words are what white space (as in str.split) separates and are equal if their bytes are; a
+deleted word takes the white space after it along; windows are equal if their 64-bit hashes are; passages within one document stay;
+repeated rows with one doc_id are edited alike and aren't compared with each other; rows with null ids are returned as they are (a null text as an
+empty one); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,21 +26,27 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import cut, ship, texts
+from ._base import cut, ship, stored, texts
 
-#: Words from which a line is cut at the next end of a sentence: few, so that a passage is cut alike wherever it stands in a line.
+#: Words from which a line is cut at the next end of a sentence; lines are only counted.
 CUT = 4
 PIECES = re.compile(r"[^.!?\n]+[.!?]*[^\S\n]*\n?|[.!?]+[^\S\n]*\n?|\n").findall
 _B = np.uint64(0x9E3779B97F4A7C15)
 _UNB = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: White space of str.split beyond ASCII's; it is read as blanks of as many bytes.
+_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_BYTES = np.where(_SPACE, 0, np.random.default_rng(11).integers(1, 1 << 63, 256)).astype(np.uint64)
+#: Bytes of text that are hashed at a time, and the most bits that the filter has.
+GROUP, MOST_BITS = 1 << 20, 1 << 31
 
 
 def units(text: str) -> tuple[list[str], list[int]]:
@@ -58,8 +64,214 @@ def units(text: str) -> tuple[list[str], list[int]]:
     return out, words
 
 
-def hashes_of(lines: list[str]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, [x.strip().encode("utf-8", "surrogatepass") for x in lines]), np.uint64, len(lines))
+class Words(NamedTuple):
+    """The words of some texts one after another, and the windows of the texts."""
+
+    first: np.ndarray  # of each text, and of the end, its first word
+    start: np.ndarray  # of each word, its first byte in its text
+    at: np.ndarray  # of each window, its first word
+    key: np.ndarray  # of each window, its representative
+    own: np.ndarray  # of each window, its hash
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each group, its first window and its hash."""
+        new = _changes(np.searchsorted(self.first, self.at, "right"), self.key)
+        if not len(new):
+            return new, self.own
+        size = np.diff(np.r_[new, len(self.at)])
+        powers = np.cumprod(np.full(int(size.max()), _B))
+        return new, _mixed(np.add.reduceat(self.own * powers[np.arange(len(self.at)) - np.repeat(new, size)], new))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the sequences of n, by halves."""
+    if n == 1:
+        return h
+    a = _sequences(h, n // 2)
+    out = a[: len(h) - n + 1] * _B + a[n // 2 : n // 2 + len(h) - n + 1]
+    return _mixed(out * _B + h[n - 1 :] if n % 2 else out)
+
+
+def windows_of(raw: list[bytes], least: int) -> Words:
+    """raw: texts as UTF-8, white space as ASCII."""
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    blank = _SPACE[data]
+    start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    origin = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    first = np.searchsorted(start, origin)
+    none = np.empty(0, np.uint64)
+    if len(start) < least:
+        return Words(first, start - np.repeat(origin[:-1], np.diff(first)), np.empty(0, np.int64), none, none)
+    size = np.diff(np.r_[start, len(data)])
+    powers = np.cumprod(np.full(int(size.max()), _B))
+    within = np.arange(start[0], len(data)) - np.repeat(start, size)
+    h = _mixed(np.add.reduceat(_BYTES[data[start[0] :]] * powers[within], start - start[0]))
+    half = max(1, least // 2)
+    low, width, want = _sequences(h, half), 1, least - half + 1
+    while width < want:
+        step = min(width, want - width)
+        low, width = np.minimum(low[: len(low) - step], low[step:]), width + step
+    text = np.repeat(np.arange(len(raw)), np.diff(first))
+    at = np.flatnonzero(text[: len(text) - least + 1] == text[least - 1 :])
+    return Words(first, start - origin[text], at, low[at], _sequences(h, least)[at])
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _blanked(text: str) -> bytes:
+    if _WIDE.search(text):
+        text = _WIDE.sub(lambda m: " " * len(_bytes(m[0])), text)
+    return _bytes(text)
+
+
+def _groups(b: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, Words]]:
+    """doc_id of each window, and the windows, for some texts at a time."""
+    ids, raw, held = [], [], 0
+    for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+        ids.append(d), raw.append(_blanked(t))
+        held += len(raw[-1])
+        if held >= GROUP:
+            yield _owned(ids, windows_of(raw, least))
+            ids, raw, held = [], [], 0
+    if ids:
+        yield _owned(ids, windows_of(raw, least))
+
+
+def _owned(ids: list[int], w: Words) -> tuple[np.ndarray, Words]:
+    return np.array(ids, np.int64)[np.searchsorted(w.first, w.at, "right") - 1], w
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Positions at which a row differs from the one before it."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+
+def _keys(least: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for doc, w in _groups(b, least):
+                new = _changes(doc, w.key)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(w.key[new].view(np.int64))], names=["doc_id", "hash"])
+
+    return run
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """Bits, as bytes, of a Bloom filter of one hash over the one column of keys (long, hashed evenly), 16 to 32 bits a key; its length is a power of two."""
+    bits = min(MOST_BITS, 1 << max(13, (16 * keys.count()).bit_length()))
+
+    def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in it:
+            bit = b.column("bit").to_numpy(zero_copy_only=False)
+            for own in np.split(bit, _changes(bit >> 13)[1:]):
+                if len(own):
+                    parts.setdefault(int(own[0] >> 13), np.zeros(8192, bool))[own & 8191] = True
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
+
+    dealt = keys.select(F.col(keys.columns[0]).bitwiseAND(F.lit(bits - 1)).alias("bit")).repartition(F.shiftright("bit", 13)).sortWithinPartitions("bit")
+    out = np.zeros(bits // 8, np.uint8)
+    for part, x in dealt.mapInArrow(fill, "part long, bits binary").toLocalIterator():  # 256 MB at most in all
+        out[part * 1024 : part * 1024 + 1024] = np.frombuffer(x, np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys & np.uint64(8 * len(bits) - 1)
+    return (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def shared_windows(docs: DataFrame, min_words: int = 40) -> DataFrame:
+    """doc_id, hash: of a document's groups and single windows that documents of smaller doc_id have too."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.where("doc_id is not null")
+    several = (F.min("doc_id").alias("earlier"), F.max("doc_id").alias("top"))
+    ahead = lambda of: of.groupBy("hash").agg(*several).where("top > earlier").select("hash", "earlier")
+    # What is joined is written before: a join of two plain shuffles can split the rows of a hash that very many documents share.
+    later = lambda of: of.select("doc_id", "hash").join(cut(ahead(of)), "hash").where("doc_id > earlier").select("doc_id", "hash")
+    keys = rows.mapInArrow(_keys(min_words), "doc_id long, hash long")
+    shared = spark.sparkContext.broadcast(filter_of(cut(ahead(keys).select("hash"))))
+
+    def grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for doc, w in _groups(b, min_words):
+                new, own = w.groups()
+                some = passes(shared.value, w.key[new])
+                new, own = new[some], own[some]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(w.key[new].view(np.int64)), pa.array(own.view(np.int64))], names=["doc_id", "key", "hash"])
+
+    groups = stored(rows.mapInArrow(grouped, "doc_id long, key long, hash long"))
+    holders = groups.groupBy("key", "hash").agg(F.min("doc_id").alias("earlier"))
+    differing = cut(holders.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    unsure = spark.sparkContext.broadcast(filter_of(cut(holders.join(differing, "key", "left_semi").select(F.col("hash").bitwiseXOR(F.col("earlier")).alias("holder")))))
+
+    def single(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for doc, w in _groups(b, min_words):
+                new, own = w.groups()
+                some = passes(unsure.value, own ^ doc[new].view(np.uint64)) & passes(shared.value, w.key[new])
+                some = np.repeat(some, np.diff(np.r_[new, len(w.at)]))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(w.own[some].view(np.int64))], names=["doc_id", "hash"])
+
+    windows = stored(rows.mapInArrow(single, "doc_id long, hash long"))
+    return later(groups).unionByName(later(windows))
+
+
+def edited(text: str, gone: list[int], least: int) -> tuple[str, int]:
+    """The text without the words of its windows in gone (hashes of groups and of windows), and the number of its lines that lose any."""
+    raw = _bytes(text)
+    w = windows_of([_blanked(text)], least)
+    edge = np.zeros(len(w.start) + 1, np.int64)
+    new, own = w.groups()
+    whole = np.repeat(np.isin(own.view(np.int64), gone), np.diff(np.r_[new, len(w.at)]))
+    hit = w.at[whole | np.isin(w.own.view(np.int64), gone)]
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + least, -1)
+    drop = np.cumsum(edge[:-1]) > 0
+    ends = np.r_[w.start[1:], len(raw)]
+    lines = np.cumsum([len(_bytes(x)) for x in units(text)[0]])
+    lost = len(np.unique(np.searchsorted(lines, w.start[drop], "right")))
+    new = _changes(drop)
+    parts = [raw[: w.start[0]]] if len(w.start) else [raw]
+    parts += [raw[w.start[i] : ends[j - 1]] for i, j in zip(new, [*new[1:], len(drop)], strict=True) if not drop[i]] if len(new) else []
+    return b"".join(parts).decode("utf-8", "surrogatepass"), lost
+
+
+def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
+    """docs with all their columns, the text (null: empty) edited, and _n_deleted, the number of lines that lose words."""
+    found = shared_windows(texts(docs, id_col, text_col), min_words)
+    gone = found.groupBy(F.col("doc_id").alias("_later")).agg(F.collect_set("hash").alias("_gone"))
+
+    def edit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out, lost = [], []
+            for t, g in zip(b.column(text_col).to_pylist(), b.column("_gone").to_pylist(), strict=True):
+                t, n = edited(t or "", g, min_words) if g else (t or "", 0)
+                out.append(t), lost.append(n)
+            new = {text_col: pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in names), pa.array(lost, pa.int64())], names=[*names, "_n_deleted"])
+
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("_n_deleted", T.LongType())])
+    return docs.join(gone, docs[id_col] == gone["_later"], "left").drop("_later").mapInArrow(edit, schema)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
+    """doc_id, text (edited), n_deleted (lines) for every row."""
+    return edit_documents(texts(docs, id_col, text_col), min_words=min_words).withColumnRenamed("_n_deleted", "n_deleted")
+
+
+# The search by runs of lines and their alignment used these; they stay for callers and tests.
 
 
 def runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,29 +293,6 @@ def runs(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray,
     return least_line, own ^ (own >> np.uint64(31))
 
 
-def _profile(least: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            hashes, words, keys, blobs, sizes = [], [], [], [], [0]
-            for t in b.column("text").to_pylist():
-                lines, w = units(t)
-                h, w = hashes_of(lines), np.array(w, np.int32)
-                hashes.append(h.view(np.int64)), words.append(w)
-                first, own = runs(h, w, least)
-                order = np.lexsort((own, first))
-                first, own = first[order], own[order]
-                new = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(first) else np.empty(0, np.int64)
-                keys.append(first[new].view(np.int64))
-                packed, edges = own.tobytes(), [*(8 * new).tolist(), 8 * len(own)]
-                blobs += [packed[i:j] for i, j in zip(edges, edges[1:], strict=False)]
-                sizes.append(sizes[-1] + len(new))
-            lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, kind)]).astype(kind)))
-            seeds = pa.StructArray.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.int64)]).astype(np.int64)), pa.array(blobs, pa.binary())], ["line", "runs"])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists(hashes, np.int64), lists(words, np.int32), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), seeds)], names=["doc_id", "hashes", "words", "seeds"])
-
-    return run
-
-
 def matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Patience diff: aligned pairs (position in a, position in b) of equal lines, in order."""
     out: list[tuple[int, int]] = []
@@ -145,84 +334,3 @@ def matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
                 out.append((i, j))
             i0, j0 = i + 1, j + 1
     return sorted(out)
-
-
-def blocks(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Positions in b of aligned blocks, consecutive in both sides, with at least `least` words in all."""
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*matches(a, b), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in block) >= least:
-                out += block
-            block = []
-        block.append(j)
-        last = (i, j)
-    return out
-
-
-def profiles(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """doc_id, hashes and words of each line, seeds: representative lines with their packed runs; one row for each row whose doc_id isn't null."""
-    ship(docs.sparkSession)
-    return texts(docs).where("doc_id is not null").mapInArrow(_profile(min_words), "doc_id long, hashes array<bigint>, words array<int>, seeds array<struct<line:bigint,runs:binary>>")
-
-
-def _unpacked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        parts = [np.frombuffer(x, np.int64) for x in b.column("runs").to_pylist()]
-        docs = np.repeat(b.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in parts])
-        yield pa.RecordBatch.from_arrays([pa.array(docs.astype(np.int64)), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]))], names=["doc_id", "run"])
-
-
-def pairs(lines: DataFrame) -> DataFrame:
-    """later, earlier: each document with the first holders of its runs."""
-    seeds = lines.select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.line", "s.runs")
-    several = (F.min("doc_id").alias("earlier"), F.max("doc_id").alias("top"))
-    shared = seeds.select("doc_id", "line").groupBy("line").agg(*several).where("top > earlier").select("line")
-    shared_runs = cut(seeds.join(shared, "line", "left_semi").select("doc_id", "runs").mapInArrow(_unpacked, "doc_id long, run long"))
-    # Written before it is joined: a join of two plain shuffles can split the rows of a run that very many documents share.
-    first = cut(shared_runs.groupBy("run").agg(*several).where("top > earlier").select("run", "earlier"))
-    return shared_runs.join(first, "run").where("doc_id > earlier").select(F.col("doc_id").alias("later"), "earlier").distinct()
-
-
-def deletions(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """doc_id, gone: sorted positions of the lines to delete, for documents that lose any."""
-    lines = cut(profiles(docs, min_words))
-    found = pairs(lines)
-    first = lines.select(F.col("doc_id").alias("earlier"), F.col("hashes").alias("a"))
-    later = lines.select(F.col("doc_id").alias("later"), F.col("hashes").alias("b"), "words")
-
-    def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            gone = [blocks(*x, min_words) for x in zip(*(b.column(c).to_pylist() for c in ("a", "b", "words")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("later"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
-
-    aligned = found.join(later, "later").join(first, "earlier").select("later", "a", "b", "words").mapInArrow(align, "doc_id long, gone array<int>")
-    return aligned.select("doc_id", F.explode("gone").alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
-
-
-def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
-    """docs with all their columns, the text (null: empty) edited, and _n_deleted lines."""
-    gone = deletions(texts(docs, id_col, text_col), min_words).select(F.col("doc_id").alias("_later"), F.col("gone").alias("_gone"))
-
-    def edit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out, lost = [], []
-            for t, g in zip(b.column(text_col).to_pylist(), b.column("_gone").to_pylist(), strict=True):
-                lost.append(len(g or ()))
-                if g:
-                    drop = set(g)
-                    t = "".join([x for i, x in enumerate(units(t or "")[0]) if i not in drop])
-                out.append(t or "")
-            new = {text_col: pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([*(new.get(c, b.column(c)) for c in names), pa.array(lost, pa.int64())], names=[*names, "_n_deleted"])
-
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_deleted", T.LongType())])
-    return docs.join(gone, docs[id_col] == gone["_later"], "left").drop("_later").mapInArrow(edit, schema)
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
-    """doc_id, text (edited), n_deleted (lines) for every row."""
-    return edit_documents(texts(docs, id_col, text_col), min_words=min_words).withColumnRenamed("_n_deleted", "n_deleted")

@@ -225,3 +225,28 @@ def test_packing_puts_neighbours_together():
     docs = [np.r_[r.integers(1000 * (i % 3), 1000 * (i % 3) + 60, 100), 1] for i in range(30)]
     pure = [len({i % 3 for i, _, _ in w}) == 1 for w in packing.windows(docs, 202)]
     assert sum(pure) >= 0.7 * len(pure)
+
+
+def word_windows(text, n):
+    w = text.split()
+    return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+
+
+def test_line_dedup_finds_passages_that_begin_and_end_within_sentences(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(52)]
+    passage[17] += "."  # sentences of about 35 words: no 40 words of whole ones
+    rows = []
+    for d in range(6):
+        before, after = [word() for _ in range(70)], [word() for _ in range(70)]
+        before[20] += "."
+        after[33] += "."
+        rows.append((d, " ".join([*before, *passage, *after])))
+    plain = [word() for _ in range(60)]  # no punctuation anywhere
+    rows += [(d, "　".join([*(word() for _ in range(30)), *plain, *(word() for _ in range(30))])) for d in (10, 11)]
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert out[0] == rows[0][1] and out[10] == rows[6][1]
+    for d, t in rows:
+        if d not in (0, 10):
+            assert out[d].split() == [w for w in t.split() if w not in {*passage, *plain}]
