@@ -250,3 +250,19 @@ def test_line_dedup_finds_passages_that_begin_and_end_within_sentences(spark):
     for d, t in rows:
         if d not in (0, 10):
             assert out[d].split() == [w for w in t.split() if w not in {*passage, *plain}]
+
+
+def test_line_dedup_deletes_repeated_and_reordered_passages(spark):
+    r = random.Random(6)
+    sentence = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)) + "."
+    p, q = [" ".join(sentence() for _ in range(5)) for _ in range(2)]
+    a, b, c, d = [[sentence() for _ in range(4)] for _ in range(4)]
+    rows = [
+        (0, " ".join([*a, p, p, q])),  # no line of p is unique here
+        (1, " ".join([*b[:2], p, *b[2:]])),
+        (2, " ".join([q, *c[:2], p, *c[2:]])),  # in another order
+        (3, " ".join([*d[:2], p, *d[2:], p])),
+    ]
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(table(spark, rows)).collect()}
+    assert out[0] == rows[0][1]
+    assert [out[i].split() for i in (1, 2, 3)] == [" ".join(x).split() for x in (b, c, d)]
