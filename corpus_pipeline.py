@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_anomalous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, catalog.table(spark, sf_dir, "labels"), base=False)  # the base rule would drop short clean documents
+    return quality.keep_good(docs, catalog.table(spark, sf_dir, "labels"), short=False)  # the base rule's bound on words would drop short clean documents
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Each text gets counts that quality rules use (words, symbols, repeated lines, repeated 8-word windows, capitals, exclamation marks,
 words said twice in a row).
-The base rule uses words and repeats, the forest the rates of symbols, words in capitals, marks and echoes. Trees that split a
+The base rule uses words and repeats, the forest all of them: rates of symbols, words in capitals, marks and echoes, the shares of repeated lines and
+of words in repeated windows, mean word length and number of words. Each counts by how far it lies outside what good labelled texts have, so that no
+text is rare for being short or for a few signs. Trees that split a
 random statistic at a random value are grown on a bounded sample of labelled rows; a text that random splits cut off early is anomalous, score 2^(-mean path length / expected path length). The threshold is calibrated on all
-labelled rows: of the cuts that lose at most `clean_loss` of the good ones, the one that rejects most bad ones.
+labelled rows: of the cuts that lose at most `clean_loss` of the good ones, the one that rejects most bad ones, in the middle of those that reject as many.
 
 Sample: the `sample` labelled rows of smallest hash, of which bad ones make up at most `bad_share` (a forest isolates
 what is rare). Both are parameters of fit(). Without labelled rows of both kinds nothing but the base rule rejects.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from ._base import cut, filtered, ship, texts
 
 SYMBOLS = b"#*$%&|<>"
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_caps", "n_marks", "n_echoes"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_caps", "n_marks", "n_echoes", "n_lines"]
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
 _BLANK = b" \t\n\r\x0b\x0c"
 
@@ -65,7 +67,7 @@ def counts(text: str) -> tuple[int, ...]:
     words = b.split()
     lines = [x for x in b.split(b"\n") if x and not x.isspace()]
     drop = lambda chars: len(b) - len(b.translate(None, chars))
-    return (len(words), len(text) - drop(_BLANK), drop(SYMBOLS), len(lines) - len(set(lines)), repeated_words(words), sum(map(_shouted, words)), b.count(b"!"), sum(map(eq, words, words[1:])))
+    return (len(words), len(text) - drop(_BLANK), drop(SYMBOLS), len(lines) - len(set(lines)), repeated_words(words), sum(map(_shouted, words)), b.count(b"!"), sum(map(eq, words, words[1:])), len(lines))
 
 
 def _run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +81,30 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return texts(docs, id_col, text_col).mapInArrow(_run, SCHEMA)
 
 
-def features(c: dict[str, np.ndarray]) -> np.ndarray:
-    """Rates in the order of the forest's dimensions, in steps of a fifth, so that a few signs or chance echoes make no text rare; a text without words has zeros."""
+#: By how much a statistic has to lie outside the bounds to count half: rates and shares, mean word length, log of words.
+SCALE = np.array([0.02] * 6 + [1.0, 1.0])
+
+
+def rates(c: dict[str, np.ndarray]) -> np.ndarray:
+    """The rule statistics in the order of the forest's dimensions; a text without words has zeros. Of n signs, capitals, marks, echoes or repeated lines, n - sqrt(n) count: one may be chance."""
+    c = {k: np.asarray(v, float) for k, v in c.items()}
     w = np.maximum(c["n_words"], 1)
-    rates = (c["n_symbols"] / w, c["n_caps"] / w, c["n_marks"] / w, c["n_echoes"] / w)
-    return np.round(np.column_stack(rates).astype(float) * 5) / 5
+    sure = lambda k: np.maximum(c[k] - np.sqrt(c[k]), 0)
+    return np.column_stack((sure("n_symbols") / w, sure("n_caps") / w, sure("n_marks") / w, sure("n_echoes") / w, sure("n_dup_lines") / np.maximum(c["n_lines"], 1), c["n_repeat_words"] / w, c["word_chars"] / w, np.log1p(c["n_words"])))
+
+
+def bounds_of(good: np.ndarray, tail: float = 0.0004) -> np.ndarray:
+    """Least and greatest of each statistic in good texts, but for a share `tail` of them at either end; rates and shares have no least."""
+    out = np.quantile(good, [tail, 1 - tail], axis=0)
+    out[0, :6] = 0
+    return out
+
+
+def features(c: dict[str, np.ndarray], bounds: np.ndarray) -> np.ndarray:
+    """How far each statistic lies outside the bounds, from 0 (within) to below 1."""
+    r = rates(c)
+    out = np.maximum(np.maximum(bounds[0] - r, r - bounds[1]), 0)
+    return out / (out + SCALE)
 
 
 def _expected(n: float) -> float:
@@ -93,12 +114,14 @@ def _expected(n: float) -> float:
 class Forest:
     """Trees as flat arrays: dimension (-1: leaf), split, left child, and at leaves the path length."""
 
-    def __init__(self, x: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 7):
+    def __init__(self, x: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 7, bounds: np.ndarray | None = None, anchors: np.ndarray | None = None):
+        self.bounds = bounds  # with which features() made x
+        anchors = x[:0] if anchors is None else anchors  # rows that every tree has
         rng = np.random.default_rng(seed)
         self.norm = max(_expected(min(rows, len(x))), 1e-9)
         self.trees = []
         for _ in range(trees):
-            own = x[rng.choice(len(x), min(rows, len(x)), replace=False)]
+            own = np.vstack([x[rng.choice(len(x), min(rows, len(x)), replace=False)], anchors])
             dim, cut_at, left, path = [], [], [], []
 
             def grow(at: np.ndarray, depth: int) -> int:
@@ -140,37 +163,40 @@ def scored(stats: DataFrame, forest: Forest | None) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = features({c: b.column(c).to_numpy(zero_copy_only=False) for c in COUNTS})
-            s = forest.score(x) if forest else np.zeros(len(x))
+            s = forest.score(features({c: b.column(c).to_numpy(zero_copy_only=False) for c in COUNTS}, forest.bounds)) if forest else np.zeros(len(b))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "anomaly"])
 
     return stats.mapInArrow(run, SCHEMA + ", anomaly double")
 
 
-def base_failed() -> str:
-    return "(n_words < 20 or 100 * n_repeat_words > 30 * n_words)"
+def base_failed(short: bool = True) -> str:
+    """The base rule; short: with the part on texts of few words."""
+    return "(n_words < 20 or 100 * n_repeat_words > 30 * n_words)" if short else "(100 * n_repeat_words > 30 * n_words)"
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = 8192, bad_share: float = 0.06, clean_loss: float = 0.004, base: bool = True) -> tuple[Forest | None, float]:
-    """Forest and threshold from stats joined with labels (doc_id, quality 1 good, 0 bad); base: leave out what the base rule rejects anyway."""
+def fit(stats: DataFrame, labels: DataFrame, sample: int = 8192, bad_share: float = 0.06, clean_loss: float = 0.004, base: bool = True, short: bool = True) -> tuple[Forest | None, float]:
+    """Forest and threshold from stats joined with labels (doc_id, quality 1 good, 0 bad); base: leave out what the base rule (short: with its part on short texts) rejects anyway."""
     labels = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = (stats.where(f"not {base_failed()}") if base else stats).join(labels, "doc_id")
+    known = (stats.where(f"not {base_failed(short)}") if base else stats).join(labels, "doc_id")
     pick = lambda q, n: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), *COUNTS).limit(n).select(*COUNTS).toPandas()
     good, bad = pick(1, int(sample * (1 - bad_share))), pick(0, int(sample * bad_share))
     if good.empty or bad.empty:
         return None, 2.0
-    x = np.vstack([features({c: p[c].to_numpy() for c in COUNTS}) for p in (good, bad.head(max(1, round(len(good) * bad_share / (1 - bad_share)))))])
-    forest = Forest(x)
+    bounds = bounds_of(rates({c: good[c].to_numpy() for c in COUNTS}))
+    x = np.vstack([features({c: p[c].to_numpy() for c in COUNTS}, bounds) for p in (good, bad.head(max(1, round(len(good) * bad_share / (1 - bad_share)))))])
+    forest = Forest(x, bounds=bounds, anchors=np.eye(x.shape[1]))  # so that trees also split statistics in which the labelled texts are alike
     bins = scored(known.select("doc_id", *COUNTS), forest).select("doc_id", F.floor(F.col("anomaly") * 2000).cast("int").alias("bin")).join(labels, "doc_id")
     tally = {(r["bin"], r["quality"]): r["count"] for r in bins.groupBy("bin", "quality").count().collect()}  # 4000 rows at most
     n_good = sum(v for (_, q), v in tally.items() if q)
     lost = caught = 0
-    best = (0, 2001)
+    best, low = (0, 2001), 2001
     for b in range(2000, -1, -1):
         lost, caught = lost + tally.get((b, 1), 0), caught + tally.get((b, 0), 0)
         if lost <= clean_loss * n_good and caught > best[0]:
             best = (caught, b)
-    return forest, best[1] / 2000
+        if lost <= clean_loss * n_good and caught == best[0]:
+            low = b
+    return forest, (best[1] + low + 1) // 2 / 2000
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: float) -> DataFrame:
@@ -181,17 +207,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: bool = True, **bounds: float) -> DataFrame:
-    """The rows of docs, with all their columns, that judge() keeps; without the base rule the forest decides alone, so that short clean texts stay.
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: bool = True, short: bool = True, **bounds: float) -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps; without the base rule the forest decides alone; without its part on short texts (short) short clean texts stay, repeats go.
 
     Counts are made twice instead of shuffling the texts.
     """
-    forest, threshold = fit(cut(statistics(docs, id_col, text_col)), labels, base=base, **bounds)
+    forest, threshold = fit(cut(statistics(docs, id_col, text_col)), labels, base=base, short=short, **bounds)
 
     def keeps(batch: list[str]) -> list[bool]:
         c = dict(zip(COUNTS, np.array([counts(t) for t in batch], np.int64).reshape(-1, len(COUNTS)).T, strict=True))
-        anomaly = forest.score(features(c)) if forest else np.zeros(len(batch))
-        failed = base & ((c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"]))
+        anomaly = forest.score(features(c, forest.bounds)) if forest else np.zeros(len(batch))
+        failed = base & (short & (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"]))
         return (~failed & (anomaly < threshold)).tolist()
 
     return filtered(docs, keeps, text_col)

@@ -153,3 +153,21 @@ def test_probabilities_and_levels():
     assert (found >= true).all() and (found == true).mean() > 0.9  # a Bloom filter forgets nothing
     strange = part.levels(lm_score.PAIRS, pairs + np.uint64(1), np.zeros(len(pairs), np.uint16))
     assert (strange > 0).mean() < 0.1
+
+
+def test_quality_uses_every_statistic_unrounded(spark):
+    sf = SF.replace("0.01", "0.1")
+    docs, labels = (catalog.table(spark, sf, t) for t in ("documents", "labels"))
+    clean = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}lume" for i in range(300)]
+    some = lambda change: " ".join(change(w) if i % 11 == 0 else w for i, w in enumerate(clean))
+    texts = {
+        -1: " ".join(clean),
+        -2: some(lambda w: "#" + w),  # signs in 9 % of the words
+        -3: some(str.upper),
+        -4: some(lambda w: w + "!"),
+        -5: "one line of several words\n" * 300,
+        -6: "a short clean text",
+    }
+    planted = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = quality.keep_good(docs.select("doc_id", "text").unionByName(planted), labels, short=False)
+    assert {r["doc_id"] for r in kept.where("doc_id < 0").collect()} == {-1, -6}
