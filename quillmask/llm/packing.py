@@ -9,8 +9,8 @@ Each token of each document lies in exactly one piece. Texts are encoded once, w
 vocabulary allows) are shuffled, once. A shard's size is bounded in tokens whatever the partition's size, and index, windows and
 checksums are made in one streaming pass, so a lost task is simply run again.
 
-A query uses the seed's `query_terms` terms of highest weight that other documents of the shard have as well: a parameter of the ranking,
-not a limit on documents: every document of the shard can be returned.
+A query uses all of the seed's terms that other documents of the shard have as well, so scores are the BM25 of the whole document and every
+document of the shard that shares a term with it can be returned.
 
 Defined cases: null and empty texts consist of the end token; very long texts fill windows of their own; repeated rows are packed
 each by itself; null ids are packed and keep a null id; ties of score go to the earlier document of the shard; an empty table gives
@@ -108,7 +108,7 @@ def loaded(path: str) -> Words:
 class Shard:
     """BM25 index over the tokens of some documents."""
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, query_terms: int = 24):
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs])
         top = int(max(d.max() for d in docs)) + 1
@@ -119,19 +119,26 @@ class Shard:
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / lengths.mean()))
         order = np.argsort(term, kind="stable")
         self.postings, self.weights, self.first = doc[order].astype(np.int32), weight[order].astype(np.float32), np.concatenate([[0], np.cumsum(df)])
+        # Terms of many documents as rows with a weight for each document, which add up faster than postings; no more than 2 entries a posting.
+        many = np.flatnonzero(2 * df > self.n)
+        self.row = np.full(top, -1)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), self.n), np.float32)
+        for r, t in enumerate(many):
+            own = slice(self.first[t], self.first[t + 1])
+            self.rows[r, self.postings[own]] = self.weights[own]
         shared = df[term] > 1
-        self.query: list[np.ndarray] = []
-        bounds = np.searchsorted(doc, np.arange(self.n + 1))
-        for i in range(self.n):
-            own = slice(bounds[i], bounds[i + 1])
-            t, w = term[own][shared[own]], weight[own][shared[own]]
-            self.query.append(t[np.argpartition(-w, query_terms)[:query_terms]] if len(t) > query_terms else t)
+        self.query = np.split(term[shared].astype(np.int32), np.searchsorted(doc[shared], np.arange(1, self.n)))
 
     def scores(self, seed: int) -> np.ndarray:
-        parts = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed]]
+        out = np.zeros(self.n, np.float32)
+        rows = self.row[self.query[seed]]
+        for r in rows[rows >= 0]:
+            out += self.rows[r]
+        parts = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed][rows < 0]]
         if not parts:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.postings[p] for p in parts]), np.concatenate([self.weights[p] for p in parts]), self.n)
+            return out.astype(float)
+        return out + np.bincount(np.concatenate([self.postings[p] for p in parts]), np.concatenate([self.weights[p] for p in parts]), self.n)
 
 
 def windows(docs: list[np.ndarray], size: int) -> Iterator[list[tuple[int, int, int]]]:

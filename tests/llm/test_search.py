@@ -266,3 +266,18 @@ def test_line_dedup_deletes_repeated_and_reordered_passages(spark):
     out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(table(spark, rows)).collect()}
     assert out[0] == rows[0][1]
     assert [out[i].split() for i in (1, 2, 3)] == [" ".join(x).split() for x in (b, c, d)]
+
+
+def test_packing_scores_are_the_bm25_of_whole_documents():
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 400, int(r.integers(50, 600))) for _ in range(40)]
+    docs += [np.r_[np.arange(1000, 1300), 1], np.array([1000, 1001, 1]), *(np.array([t, 1]) for t in range(1000, 1300))]
+    index, n, mean = packing.Shard(docs), len(docs), np.mean([len(d) for d in docs])
+    df = {t: sum(t in s for s in (set(d.tolist()) for d in docs)) for t in range(1300)}
+    for seed in (0, 7, 40):
+        terms = [t for t in {*docs[seed].tolist()} if df[t] > 1]
+        want = []
+        for d in docs:
+            tf = {t: int((d == t).sum()) for t in terms if t in d}
+            want.append(sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t, f in tf.items()))
+        assert np.allclose(index.scores(seed), want, rtol=1e-4, atol=1e-4)
