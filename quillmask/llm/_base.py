@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,9 +20,15 @@ _SHIPPED: set[str] = set()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session says otherwise; a longer text is a batch of its own.
+BATCH, BATCH_BYTES, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package's sources to the Python workers, once per application, through Spark's own file server."""
+    """Send this package's sources to the Python workers, once per application, through Spark's own file server; bound what a worker gets at a time."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH) == SPARKS_OWN:
+        spark.conf.set(BATCH, BATCH_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
@@ -34,10 +41,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set and there is but one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
     return sc.getCheckpointDir()
 
 
@@ -48,10 +58,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """df written as Parquet in the shared folder and read again; the folder goes when the application ends, or before by drop()."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at, files = _files(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the folder of a frame that stored() returned and that nothing reads any more."""
+    at, files = _files(df.sparkSession, df._folder)
+    files.delete(at, True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path, and the file system that it lies in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def filtered(docs: DataFrame, keeps: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:

@@ -4,7 +4,9 @@ Words and word pairs of the training documents are counted over all data; a coun
 (n-gram, 1) to (n-gram, level). The filter is cut into segments by n-gram hash; each segment is made by one task from its own counts, with a
 size in proportion to its entries. Workers get it by broadcast and read a count back by probing level after level until one is
 missing; it stands for the middle of its bucket. Besides words and pairs the filter holds how often a word is a history and how many
-distinct words follow it, from which pair estimates are smoothed (Witten-Bell) with word estimates that add a tenth like the base.
+distinct words follow it. Pair estimates are smoothed by absolute discounting: what the discount, which follows from how many pairs occur once and twice,
+takes from a history's pairs goes to word estimates that add a tenth like the base. So a pair seen once is worth little, and one seen
+twice far more.
 
 A broadcast holds at most `broadcast_mb` of segments. A larger filter is read in several passes, one block of segments each: the levels
 found so far travel with the documents, written to the shared folder between passes, and scores are the same.
@@ -12,17 +14,18 @@ found so far travel with the documents, written to the shared folder between pas
 The base score needs exact counts: the most frequent words, `frequent` at most, are broadcast; all other ones are joined by
 word (exact, no cut), grouped per document before the shuffle.
 
+Texts are handled as arrays of a batch's words (module _words), each distinct word and pair of a batch once; no word becomes a Python object.
+
 Defined cases: null, empty and blank texts consist of the end token; texts are never cut; rows that share doc_id and text (repeated
 rows) each get a row; null ids take part as the text '' in the fold; an empty table gives an empty result; other columns are ignored.
-Counts of pairs are kept by 56 bits of hash within a segment and read through the filter, so both have a small error rate (parameter `bits` per
-entry); base scores don't depend on either.
+Within a batch, and among the broadcast words, words are equal if their 64-bit hashes are. Counts of pairs are kept by 56 bits of hash within a
+segment and read through the filter, so both have a small error rate (parameter `bits` per entry); base scores depend on neither.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,53 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._base import cut, ship, texts
-
-END = b" end"  # holds a space, as no word does
-KEYS = 500_000
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def tokens(text: str) -> list[bytes]:
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-class Lexicon:
-    """Numbers words as they come, up to a bound, and keeps what is known about each of them in arrays: `facts` makes those of new words."""
-
-    def __init__(self, facts: Callable[[list[bytes]], list[np.ndarray]], remember: int = 200_000):
-        self.known: dict[bytes, int] = {}
-        self.facts, self.remember = facts, remember
-        self.arrays: list[np.ndarray] = []
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Numbers, which hold until the next call."""
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-            self.arrays = []
-        if new := list(set(words) - known.keys()):
-            first, more = len(known), self.facts(new)
-            known.update(zip(new, range(first, first + len(new)), strict=True))
-            size = len(self.arrays[0]) if self.arrays else 0
-            if first + len(new) > size:  # doubled, so that adding words stays cheap
-                room = [np.empty(max(2 * size, first + len(new)), x.dtype) for x in more]
-                for x, old in zip(room, self.arrays, strict=False):
-                    x[:first] = old[:first]
-                self.arrays = room
-            for x, y in zip(self.arrays, more, strict=True):
-                x[first : first + len(new)] = y
-        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
+from ._words import MARK, mix, numbered, words_of
 
 #: Kinds of entries: counts of words, of histories, of histories' distinct followers, and of pairs.
 WORDS, HISTORIES, FOLLOWERS, PAIRS = range(4)
@@ -94,14 +51,6 @@ def pair_keys(history: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (mix(history + h) & np.uint64(0xFFFFFFFF)) | ((history & np.uint64(0xFFFFFF)) << np.uint64(32))
 
 
-def histories(numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The number of the word before each; a text's first history is the end token, which is the last word of all texts."""
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    before[starts] = numbers[-1]
-    return before
-
-
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) % np.uint64(segments)).astype(np.uint16)
 
@@ -170,119 +119,88 @@ class Filter:
         return out
 
 
-class Prober:
-    """Levels of the words of texts and of their pairs, from some segments; words are probed once and remembered, pairs once a chunk."""
+def pairs_of(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, as numbers of history and word, and of each word its pair's place. A text's first history is the end token before it, the mark of the text
+    before; the batch's first word has its last one."""
+    before = np.roll(number, 1)
+    first, back = numbered(((before << 32) | number).view(np.uint64))
+    return before[first], number[first], back
 
-    def __init__(self, part: Filter, more: Callable[[list[bytes]], list[np.ndarray]] = lambda words: []):
-        def facts(words: list[bytes]) -> list[np.ndarray]:
-            h = hashes_of(words)
-            word, history = word_keys(h)
-            its = segment_of(history, part.segments)
-            return [h, history, part.levels(WORDS, word, segment_of(word, part.segments)), part.levels(HISTORIES, history, its), part.levels(FOLLOWERS, history, its), *more(words)]
 
-        self.part, self.lexicon = part, Lexicon(facts)
+class Prober:
+    """Levels of the words of a batch and of their pairs, from some segments; each distinct one is probed once."""
+
+    def __init__(self, part: Filter):
+        self.part = part
 
-    def levels(self, words: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words' numbers; rows of levels by kind."""
-        at = self.lexicon.of(words)
-        h, history, own, as_history, followers = self.lexicon.arrays[:5]
-        before = histories(at, starts)
-        distinct, back = np.unique((before.astype(np.int64) << 32) | at, return_inverse=True)
-        past = history[distinct >> 32]
-        pairs = self.part.levels(PAIRS, pair_keys(past, h[distinct & 0xFFFFFFFF]), segment_of(past, self.part.segments))
-        return at, np.stack([own[at], as_history[before], followers[before], pairs[back]])
+    def levels(self, hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """hashes: of the distinct words; number: of each word. Rows of levels by kind, a column for each word."""
+        part = self.part
+        word, history = word_keys(hashes)
+        its = segment_of(history, part.segments)
+        own = part.levels(WORDS, word, segment_of(word, part.segments))
+        as_history, followers = part.levels(HISTORIES, history, its), part.levels(FOLLOWERS, history, its)
+        past, now, back = pairs_of(number)
+        pairs = part.levels(PAIRS, pair_keys(history[past], hashes[now]), its[past])
+        return np.stack([own[number], as_history[past][back], followers[past][back], pairs[back]])
 
 
 #: value_of() of each level.
 VALUES = value_of(np.arange(64))
 
 
-def log_probabilities(levels: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 probability of each token: pairs smoothed by their history's followers (Witten-Bell), words by the base's added tenth."""
+def log_probabilities(levels: np.ndarray, n: int, v: int, discount: float) -> np.ndarray:
+    """log10 probability of each token: pairs by absolute discounting, words by the base's added tenth."""
     word, history, followers, pair = VALUES[levels]
     base = (word + 0.1) / (n + 0.1 * (v + 1))
     followers = np.minimum(np.maximum(followers, 1), np.maximum(history, 1))
-    pair = np.minimum(pair, history)
-    return np.log10(np.where(history > 0, (pair + followers * base) / (history + followers), base))
-
-
-def chunks(batch: list[str], most: int = 300_000) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """Some texts at a time: number of the first, all their tokens, where each text starts."""
-    i = 0
-    while i < len(batch):
-        first, words, starts = i, [], []
-        while i < len(batch) and len(words) < most:
-            starts.append(len(words))
-            words += tokens(batch[i])
-            i += 1
-        yield first, words, np.array(starts, np.int64)
+    pair = np.minimum(pair, history - followers + 1)  # the other followers have one each at least; so no probability reaches 1
+    return np.log10(np.where(history > 0, (np.maximum(pair - discount, 0) + discount * followers * base) / np.maximum(history, 1), base))
 
 
 def _count_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-
-    def out() -> pa.RecordBatch:
-        b = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
-        seen.clear()
-        return b
-
     for b in it:
-        for t in b.column("text").to_pylist():
-            seen.update(tokens(t))
-            if len(seen) > KEYS:
-                yield out()
-    yield out()
+        w = words_of(b.column("text"))
+        first, number = numbered(w.hash)
+        yield pa.RecordBatch.from_arrays([w.bytes_of(first), pa.array(np.bincount(number, minlength=len(first)))], names=["word", "c"])
 
 
-def _count_ngrams(segments: int):
+def _count_ngrams(segments: int, most: int = 1_500_000):
     """Rows (segment, part): the distinct words' and pairs' keys of some texts, with counts."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, n = [], [], 0
-
-        def facts(new: list[bytes]) -> list[np.ndarray]:
-            h = hashes_of(new)
-            word, history = word_keys(h)
-            return [h, word & LOW[WORDS], segment_of(word, segments), history, segment_of(history, segments)]
-
-        lexicon = Lexicon(facts)
+    def counted(keys: np.ndarray, own: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each segment its distinct keys and their counts; n: of each key."""
+        order = np.lexsort((keys, own))
+        keys, own = keys[order], own[order]
+        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])])
+        sums, at = np.add.reduceat(n[order], new), np.searchsorted(own[new], np.arange(segments + 1))
+        return [(keys[new[a:b]], sums[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
-        def sorted_out(keys: np.ndarray, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-            """For each segment its distinct keys and their counts."""
-            keys = keys[np.argsort(own, kind="stable")]
-            found, at = [], 0
-            for size in np.bincount(own, minlength=segments).tolist():
-                part = np.sort(keys[at : at + size])
-                new = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if size else np.empty(0, np.int64)
-                found.append((part[new], np.diff(np.r_[new, size]).astype(np.int32)))
-                at += size
-            return found
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, held = [], [], 0
 
         def out() -> pa.RecordBatch:
-            sides = []
-            for side in (words, pairs) if words else ():
-                keys, own = (np.concatenate(x) for x in zip(*side, strict=True))
-                side.clear()
-                sides.append(sorted_out(keys, own))
-            rows = []
-            for s in range(segments) if sides else ():
-                cut_out = [side[s] for side in sides]
-                if any(len(k) for k, _ in cut_out):
-                    rows.append((s, b"".join(_packed(*x) for x in cut_out)))
+            sides = [counted(*(np.concatenate(x) for x in zip(*side, strict=True))) for side in (words, pairs)]
+            words.clear(), pairs.clear()
+            rows = [(s, b"".join(_packed(*side[s]) for side in sides)) for s in range(segments) if any(len(side[s][0]) for side in sides)]
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["segment", "part"])
 
         for b in it:
-            for _, tokens_, starts in chunks(b.column("text").to_pylist()):
-                at = lexicon.of(tokens_)
-                h, word, own, history, its = lexicon.arrays
-                before = histories(at, starts)
-                words.append((word[at], own[at]))
-                pairs.append((pair_keys(history[before], h[at]), its[before]))
-                n += len(at)
-                if n > 1_500_000:
-                    yield out()
-                    n = 0
-        yield out()
+            h = words_of(b.column("text")).hash
+            if not len(h):
+                continue
+            first, number = numbered(h)
+            h = h[first]
+            word, history = word_keys(h)
+            past, now, back = pairs_of(number)
+            words.append((word & LOW[WORDS], segment_of(word, segments), np.bincount(number)))
+            pairs.append((pair_keys(history[past], h[now]), segment_of(history, segments)[past], np.bincount(back)))
+            held += len(first) + len(past)
+            if held > most:
+                yield out()
+                held = 0
+        if held:
+            yield out()
 
     return run
 
@@ -310,8 +228,9 @@ def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def segments_of(train: DataFrame, segments: int, bits: float, hashes: int) -> DataFrame:
-    """segment, bytes."""
+    """segment, bytes, and how many pairs occur once and twice."""
     parts = train.mapInArrow(_count_ngrams(segments), "segment long, part binary")
+    schema = "segment long, bytes binary, once long, twice long"
 
     def make(key: tuple, t: pa.Table) -> pa.Table:
         words, pairs = [], []
@@ -321,9 +240,10 @@ def segments_of(train: DataFrame, segments: int, bits: float, hashes: int) -> Da
             words.append((k, c))
             k, c, _ = _unpacked(part, at)
             pairs.append((k, c))
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "bytes": pa.array([build(_added(words), _added(pairs), bits, hashes)], pa.binary())})
+        pairs = _added(pairs)
+        return pa.table({"segment": [key[0].as_py()], "bytes": pa.array([build(_added(words), pairs, bits, hashes)], pa.binary()), "once": [int((pairs[1] == 1).sum())], "twice": [int((pairs[1] == 2).sum())]})
 
-    return parts.groupBy("segment").applyInArrow(make, "segment long, bytes binary")
+    return parts.groupBy("segment").applyInArrow(make, schema)
 
 
 def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", frequent: int = 200_000, bits: float = 8.0, hashes: int = 3, segment_keys: int = 2_000_000, broadcast_mb: int = 256) -> DataFrame:
@@ -335,7 +255,6 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
 
     words = cut(train.mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    log_share = lambda c: math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
     # The lowest power-of-two-root class of counts that still leaves at most `frequent` words above it.
     classes = words.groupBy(F.floor(F.log2("c") * 8).alias("k")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("k")).collect()  # 512 rows at most
     least, many = 1 << 62, 0
@@ -344,13 +263,17 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
         if many > frequent:
             break
         least = r["c"]
-    top = spark.sparkContext.broadcast({bytes(r["word"]): log_share(r["c"]) for r in words.where(F.col("c") >= least).toLocalIterator()})
-    rare = words.where(F.col("c") < least).select("word", F.col("c").alias("c"))
+    known = [(bytes(r["word"]), r["c"]) for r in words.where(F.col("c") >= least).toLocalIterator()]
+    top = spark.sparkContext.broadcast(_shares(known, n, v))
+    rare = words.where(F.col("c") < least).select("word", "c")
 
     # Filter: segments of at most about segment_keys keys, two for each token.
     segments = max(1, min(1 << 16, math.ceil(2 * n / segment_keys)))
     made = cut(segments_of(train, segments, bits, hashes))
-    sizes = [(r["segment"], r["size"]) for r in made.select("segment", F.length("bytes").alias("size")).orderBy("segment").collect()]  # 65536 rows at most
+    stats = made.select("segment", F.length("bytes").alias("size"), "once", "twice").orderBy("segment").collect()  # 65536 rows at most
+    sizes = [(r["segment"], r["size"]) for r in stats]
+    once, twice = sum(r["once"] for r in stats), sum(r["twice"] for r in stats)
+    discount = (once + 1) / (once + 2 * twice + 2)
     blocks: list[list[int]] = [[0, 0]]  # from, to: of segment numbers
     room = broadcast_mb << 20
     for s, size in sizes:
@@ -367,28 +290,28 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
     last = _sent(spark, made, *blocks[-1], segments, hashes)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = top.value
-        prober = Prober(last.value, lambda words: [np.fromiter((known.get(w, math.nan) for w in words), np.float64, len(words))])
+        hashes_, shares = top.value
+        prober = Prober(last.value)
         for b in it:
-            out, rest, rest_n, sizes = [], [], [], [0]
-            batch, before = b.column("text").to_pylist(), b.column("levels").to_pylist()
-            for first, words, starts in chunks(batch):
-                ends = [*starts[1:].tolist(), len(words)]
-                at, levels = _merged(prober, words, starts, before[first : first + len(starts)])
-                share = prober.lexicon.arrays[5][at]
-                other = np.isnan(share)
-                p = np.add.reduceat(log_probabilities(levels, max(n, 1), v), starts).tolist()
-                base = np.add.reduceat(np.where(other, 0.0, share), starts).tolist()
-                n_other = np.add.reduceat(other.astype(np.int64), starts).tolist()
-                for i, (start, end) in enumerate(zip(starts.tolist(), ends, strict=True)):
-                    left = Counter([words[start + k] for k in np.flatnonzero(other[start:end]).tolist()]) if n_other[i] else {}
-                    out.append((xxhash.xxh64_intdigest(batch[first + i].encode("utf-8", "surrogatepass")) - (1 << 63), end - start, end - start - n_other[i], base[i], p[i]))
-                    rest += left.keys()
-                    rest_n += left.values()
-                    sizes.append(len(rest))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(rest_n, pa.int32())], ["word", "n"]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), lists], names=["doc_id", "key", "n_tokens", "n_known", "base_score", "score", "rest"])
+            w = words_of(b.column("text"))
+            starts = w.starts() if len(b) else w.marks
+            first, number = numbered(w.hash)
+            distinct = w.hash[first]
+            sums = lambda x: np.add.reduceat(x, starts) if len(x) else x
+            p = sums(log_probabilities(_merged(prober.levels(distinct, number), b.column("levels")), max(n, 1), v, discount))
+            at = np.minimum(np.searchsorted(hashes_, distinct), max(len(hashes_) - 1, 0))
+            share = np.where(hashes_[at] == distinct, shares[at], np.nan) if len(hashes_) else np.full(len(distinct), np.nan)
+            share = share[number]
+            # The other words: each document's distinct ones, with their counts.
+            other = np.flatnonzero(np.isnan(share))
+            text = np.searchsorted(w.marks, other)
+            each, back = numbered(((text << 40) | number[other]).view(np.uint64))
+            rest = pa.StructArray.from_arrays([w.bytes_of(other[each]), pa.array(np.bincount(back, minlength=len(each)), pa.int32())], ["word", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[each], np.arange(len(b) + 1)), pa.int32()), rest)
+            keys = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            size = w.marks - starts + 1
+            cols = [pa.array(keys, pa.int64()), pa.array(size), pa.array(size - np.bincount(text, minlength=len(b))), pa.array(sums(np.nan_to_num(share))), pa.array(p), lists]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "key", "n_tokens", "n_known", "base_score", "score", "rest"])
 
     scored = state.mapInArrow(run, "doc_id long, key long, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,n:int>>")
     # One row for the document itself, under a word that isn't one and that no other document has, and one for each of its other words.
@@ -416,22 +339,31 @@ def _sent(spark, made: DataFrame, lo: int, hi: int, segments: int, hashes: int):
     return spark.sparkContext.broadcast(Filter(lo, segments, [parts.get(s, bytes(8)) for s in range(lo, hi)], hashes))
 
 
-def _merged(prober: Prober, words: list[bytes], starts: np.ndarray, before: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The words' numbers, and their levels with those that earlier passes have found."""
-    at, found = prober.levels(words, starts)
-    if before and before[0] is not None:
-        found = np.maximum(found, np.concatenate([np.frombuffer(x, np.int8).reshape(4, -1) for x in before], axis=1))
-    return at, found
+def _merged(found: np.ndarray, before: pa.Array) -> np.ndarray:
+    """The levels found, with those that earlier passes have found."""
+    if not before.null_count and len(before):
+        found = np.maximum(found, np.concatenate([np.frombuffer(x.as_buffer(), np.int8).reshape(4, -1) for x in before], axis=1))
+    return found
 
 
 def _prober(sent):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prober = Prober(sent.value)
         for b in it:
-            batch, before, levels = b.column("text").to_pylist(), b.column("levels").to_pylist(), []
-            for first, words, starts in chunks(batch):
-                _, found = _merged(prober, words, starts, before[first : first + len(starts)])
-                levels += [x.tobytes() for x in np.split(found, starts[1:], axis=1)]
+            w = words_of(b.column("text"))
+            first, number = numbered(w.hash)
+            found = _merged(prober.levels(w.hash[first], number), b.column("levels"))
+            levels = [x.tobytes() for x in np.split(found, w.starts()[1:], axis=1)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(levels, pa.binary())], names=["doc_id", "text", "levels"])
 
     return run
+
+
+def _shares(words: list[tuple[bytes, int]], n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of words, and the log10 of their shares of the base."""
+    words.sort(key=lambda x: x[0] == MARK)  # the mark, which isn't a word of a text, comes last
+    w = words_of(pa.array([b"" if x == MARK else x for x, _ in words], pa.binary()))
+    own = w.hash[w.starts()] if words else w.hash
+    share = np.log10((np.array([c for _, c in words], float) + 0.1) / (n + 0.1 * (v + 1)))
+    order = np.argsort(own)
+    return own[order], share[order]
