@@ -53,7 +53,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return fingerprint.classed(fingerprint.compare_edited(docs), docs)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A text is made canonical by Unicode normalisation (NFKC), case folding and white-space folding (runs become one space,
 none at the ends); its fingerprint is the 128-bit xxh3 of the canonical UTF-8 bytes as 32 hex digits. Texts are of one class if
-digest and canonical bytes are equal: grouping is by both, so a collision of digests can't merge two texts.
+digest and canonical bytes are equal. Only digests are shuffled to find the buckets that several rows share; the canonical texts of those
+buckets' rows alone are then grouped by digest and bytes, copies merged before the shuffle, so that a collision of digests can't merge two texts
+and a bucket that a third of all rows share is a few rows.
 
 Defined cases: a null text is empty, and all empty or blank texts share one fingerprint; documents without an equal are
 classes of their own; repeated rows each get a row; a null doc_id is allowed (it sorts last, and is a class's smallest
@@ -14,14 +16,16 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import ship, spread, texts
+from ._base import cut, ship, spread, texts
+from .line_dedup import filter_of, passes
 
 
 def canonical(text: str) -> str:
@@ -40,21 +44,63 @@ def likeness(a: str, b: str) -> float:
     return float(digest(a) == digest(b) and a == b)
 
 
-def _batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        canon = [canonical(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(digest, canon), pa.string()), pa.array(canon, pa.string())], names=["doc_id", "fingerprint", "canonical"])
+def _bits(fingerprint: str) -> int:
+    """The last 64 bits, signed."""
+    return int(fingerprint[-16:], 16) - (1 << 63)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, canonical."""
+def fingerprints(docs: DataFrame, of: Callable[[str], str] = digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint for every row."""
     ship(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(_batches, "doc_id long, fingerprint string, canonical string")
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([of(canonical(t)) for t in b.column("text").to_pylist()], pa.string())], names=["doc_id", "fingerprint"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fingerprint, class_id (smallest doc_id), n (documents) for each class; grouping by digest and bytes merges copies before the shuffle."""
-    return fingerprints(docs, id_col, text_col).groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).drop("canonical")
+
+def _canonical_rows(docs: DataFrame, of: Callable[[str], str], wanted) -> DataFrame:
+    """doc_id, fingerprint, canonical of the rows that may be of the broadcast filter `wanted` of fingerprints."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            canon = [canonical(t) for t in b.column("text").to_pylist()]
+            own = [of(c) for c in canon]
+            some = np.flatnonzero(passes(wanted.value, np.array([_bits(x) for x in own], np.int64).view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(some)), pa.array([own[i] for i in some], pa.string()), pa.array([canon[i] for i in some], pa.string())], names=["doc_id", "fingerprint", "canonical"])
+
+    return docs.mapInArrow(run, "doc_id long, fingerprint string, canonical string")
+
+
+def _filter(fingerprint: DataFrame):
+    number = F.conv(F.right("fingerprint", F.lit(16)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return fingerprint.sparkSession.sparkContext.broadcast(filter_of(fingerprint.select(number.cast("long").alias("bits"))))
+
+
+def classed(rows: DataFrame, docs: DataFrame, of: Callable[[str], str] = digest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rows (doc_id and fingerprint, one for each row of docs, and other columns) with class_id, the smallest doc_id of its class, and class_size."""
+    docs = texts(docs, id_col, text_col)
+    shared = cut(fingerprints(docs, of).groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
+    groups = cut(_canonical_rows(docs, of, _filter(shared)).groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
+    by_digest = groups.groupBy("fingerprint").agg(F.count("*").alias("texts"), F.min("class_id").alias("class_id"), F.max("class_size").alias("class_size"))
+    found = rows.join(cut(by_digest.where("class_size > 1 or texts > 1")), "fingerprint", "left")
+    alone = found.withColumns({"class_id": F.coalesce("class_id", "doc_id"), "class_size": F.coalesce("class_size", F.lit(1).cast("long"))}).where("texts is null or texts = 1").drop("texts")
+    collided = cut(by_digest.where("texts > 1").select("fingerprint"))
+    if collided.isEmpty():
+        return alone
+    # Different texts share a digest: their rows are told apart by bytes, row by row.
+    told = _canonical_rows(docs, of, _filter(collided)).join(collided, "fingerprint").join(groups, ["fingerprint", "canonical"])
+    told = told.groupBy("doc_id", "fingerprint", "class_id", "class_size").count().drop("count")
+    apart = found.where("texts > 1").drop("texts", "class_id", "class_size").alias("r")
+    same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.fingerprint") == F.col("t.fingerprint"))
+    return alone.unionByName(apart.join(told.alias("t"), same).select("r.*", "t.class_id", "t.class_size"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: Callable[[str], str] = digest) -> DataFrame:
+    """fingerprint, class_id (smallest doc_id), n (documents) for each class."""
+    rows = classed(fingerprints(docs, of, id_col, text_col), docs, of, id_col, text_col)
+    return rows.groupBy("fingerprint", "class_id", F.col("class_size").alias("n")).count().drop("count")
 
 
 def _dealer(bounds: list[int], top: int | None):

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmask.llm import catalog, fingerprint, line_dedup, packing, simhash
@@ -182,6 +183,39 @@ def test_fingerprint_queries(spark):
     assert fingerprint.compare_edited(table(spark, [(None, "a"), (None, "a"), (1, "b")])).count() == 3
 
 
+def test_classes_by_digest_and_bytes(spark):
+    docs = catalog.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    classes = {}
+    for r in docs.collect():
+        classes.setdefault(fingerprint.canonical(r["text"] or ""), []).append(r["doc_id"])
+    want = {d: (min(ids), len(ids)) for ids in classes.values() for d in ids}
+    got = catalog.op5_fingerprint(spark, "/root/testdata/sf0.001").collect()
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in got} == want and len(got) == len(want)
+    weak = lambda text: f"{len(text) % 7:032x}"  # noqa: E731  very many different texts share a digest
+    got = fingerprint.classed(fingerprint.fingerprints(docs, weak), docs, weak).collect()
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in got} == want and len(got) == len(want)
+    odd = table(spark, [(None, "a"), (None, "A "), (1, "b"), (1, "b"), (2, None), (3, "")])
+    assert sorted((str(r["class_id"]), r["n"]) for r in fingerprint.exact_groups(odd, of=weak).collect()) == [("1", 2), ("2", 2), ("None", 2)]
+
+
+def test_wide_fingerprints():
+    texts = ["", "a b", "a b c d e", "a b c d e f", "A b  c d e\tf a b c d e f", prose(3, 900), prose(4, 2)]
+    got = simhash.wide(pa.array(texts), 5, 8)
+    assert (simhash.wide(pa.array(texts[::-1]), 5, 8)[::-1] == got).all()  # whatever the other texts of a batch are
+    assert len({x.tobytes() for x in got}) == len(texts) and not got[0].any()
+    assert (got[4] == simhash.wide(pa.array(["a b c d e f a b c d e f a b c d e f"]), 5, 8)[0]).all()  # a repeated shingle counts once
+    r = np.random.default_rng(5)
+    words = [f"w{i}" for i in r.permutation(4000)]
+    far = {}
+    for share in (0.7, 0.8, 0.9):  # of five-word shingles that two texts share
+        n = 1000
+        own = round(n * (1 - share) / (1 + share))
+        pairs = [(" ".join(w[: n + 4]), " ".join(w[own : n + own + 4])) for w in (list(r.permutation(words)) for _ in range(40))]
+        f = simhash.wide(pa.array([t for p in pairs for t in p]), 5, 8).view(np.uint64)
+        far[share] = (np.bitwise_count(f[::2] ^ f[1::2]).sum(axis=1) <= 88).mean()
+    assert far[0.9] == 1 and far[0.8] >= 0.8 and far[0.7] <= 0.4
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
