@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._base import cut, ship, texts
-from ._words import MARK, mix, numbered, words_of
+from ._words import MARK, mark_hash, mix, numbered, words_of
 
 #: Kinds of entries: counts of words, of histories, of histories' distinct followers, and of pairs.
 WORDS, HISTORIES, FOLLOWERS, PAIRS = range(4)
@@ -263,8 +264,7 @@ def score(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str
         if many > frequent:
             break
         least = r["c"]
-    known = [(bytes(r["word"]), r["c"]) for r in words.where(F.col("c") >= least).toLocalIterator()]
-    top = spark.sparkContext.broadcast(_shares(known, n, v))
+    top = spark.sparkContext.broadcast(_shares(words.where(F.col("c") >= least).toArrow(), n, v))
     rare = words.where(F.col("c") < least).select("word", "c")
 
     # Filter: segments of at most about segment_keys keys, two for each token.
@@ -359,11 +359,11 @@ def _prober(sent):
     return run
 
 
-def _shares(words: list[tuple[bytes, int]], n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes of words, and the log10 of their shares of the base."""
-    words.sort(key=lambda x: x[0] == MARK)  # the mark, which isn't a word of a text, comes last
-    w = words_of(pa.array([b"" if x == MARK else x for x, _ in words], pa.binary()))
-    own = w.hash[w.starts()] if words else w.hash
-    share = np.log10((np.array([c for _, c in words], float) + 0.1) / (n + 0.1 * (v + 1)))
+def _shares(words: pa.Table, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of words (word, c), and the log10 of their shares of the base."""
+    word, c = words.column("word").combine_chunks(), words.column("c").to_numpy().astype(float)
+    mark = pc.equal(word, MARK)  # it isn't a word of a text
+    w = words_of(pc.if_else(mark, pa.scalar(b"", word.type), word))
+    own = np.where(mark.to_numpy(zero_copy_only=False), mark_hash(), w.hash[w.starts()]) if len(word) else w.hash
     order = np.argsort(own)
-    return own[order], share[order]
+    return own[order], np.log10((c[order] + 0.1) / (n + 0.1 * (v + 1)))
