@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _GROUPS = r"\.?\d{3}\.?\d{3}"  # the last six digits of an identity number, in dotted threes or not
@@ -79,3 +79,8 @@ def spans(text: Column, names: tuple[str, ...] | None = None) -> Column:
 
 def full_match(text: Column, name: str) -> Column:
     return text.rlike(rf"{FLAGS}\A(?:{BY_NAME[name].regex})\z")
+
+
+def described(spark: SparkSession) -> DataFrame:
+    """name, regex, confidence, validated of every pattern; a few rows."""
+    return spark.createDataFrame([(p.name, p.regex, p.confidence, bool(p.checked)) for p in PATTERNS], "name string, regex string, confidence double, validated boolean")

@@ -41,3 +41,14 @@ def precision_recall_f1_or_null(tp: Column, fp: Column, fn: Column) -> tuple[Col
 
 def escaped_html(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def squeezed(text: Column) -> Column:
+    """Runs of white space as one space each."""
+    return F.regexp_replace(text, r"(?U)\s+", " ")
+
+
+def squeezed_places(text: Column) -> Column:
+    """For each character of squeezed(text) its place in text; a run of white space has its first one's."""
+    first = lambda i: ~F.substring(text, i + 1, F.lit(1)).rlike(r"(?U)^\s") | (i == 0) | ~F.substring(text, i, F.lit(1)).rlike(r"(?U)^\s")
+    return F.when(F.length(text) > 0, F.filter(F.sequence(F.lit(0), F.length(text) - 1), first)).otherwise(F.array().cast("array<int>"))

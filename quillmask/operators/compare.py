@@ -16,6 +16,11 @@ def delta(base: Column, new: Column) -> tuple[Column, Column]:
     return new - base, F.when(F.abs(base) > 1e-12, (new - base) / base * 100)
 
 
+def shown(value: Column) -> Column:
+    """Four digits after the point, with its sign; n/a where it is unknown."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%+.4f", value))
+
+
 def diff(runs: DataFrame, baseline: str, candidate: str, keys: list[str], value: str) -> DataFrame:
     """keys, baseline, candidate, delta, pct over the keys of either run. runs: run_id, keys, value."""
     side = lambda run, name: runs.where(F.col("run_id") == run).select(*keys, F.col(value).alias(name))

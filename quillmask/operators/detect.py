@@ -54,6 +54,23 @@ def char_chunks(text: str, limit: int) -> list[tuple[int, str]]:
     return out
 
 
+def char_chunked(docs: DataFrame, limit: int = 4000, id_type: str = "long") -> DataFrame:
+    """doc_id, chunk, start, piece of every document; a chunk's start depends on where the one before was cut, so a text is walked in order."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in it:
+            rows = [(d, n, start, piece) for d, t in zip(part["doc_id"], part["text"], strict=True) for n, (start, piece) in enumerate(char_chunks(t or "", limit))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "piece"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, chunk int, start int, piece string")
+
+
+def shifted(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Spans of chunks (doc_id, chunk, start, stop) at their places in the documents; chunks: doc_id, chunk, start."""
+    at = chunks.select("doc_id", "chunk", F.col("start").alias("_at"))
+    return found.join(at, ["doc_id", "chunk"]).withColumns({c: F.col(c) + F.col("_at") for c in ("start", "stop")}).drop("_at")
+
+
 def top_per_chunk(found: DataFrame, k: int = 100) -> DataFrame:
     """The k most confident spans of each chunk, first ones on ties; 0 keeps all. Needs doc_id, chunk, ord."""
     if k <= 0:

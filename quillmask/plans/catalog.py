@@ -511,3 +511,6 @@ def api_diff_spans(spark, d):
 def api_response_text(spark, d):
     body = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(F.col("masked").alias("masked_text")))).otherwise(F.to_json(F.struct(F.lit("").alias("text"), F.array(F.struct(F.struct(F.col("masked").alias("content")).alias("message"))).alias("choices"))))
     return C.frame(spark, d, C.ANSWERS).select("doc_id", responses.masked_text(body).alias("answer"))
+
+
+from . import catalog_more as catalog_more  # noqa: E402  registers its queries

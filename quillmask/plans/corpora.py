@@ -23,6 +23,15 @@ LETTERS = f"""
 SELECT c_custkey AS doc_id, 'Client ' || c_name || ' holds ' || lpad(CAST(c_custkey * 7919 % 100000000 AS STRING), 8, '0') || substr({_DNI}, CAST((c_custkey * 7919 + c_custkey % 3 % 2) % 23 + 1 AS INT), 1)
   || ', mail ' || lower(replace(c_name, '#', '.')) || '@example.com, from 10.' || CAST(c_custkey % 256 AS STRING) || '.' || CAST(c_custkey % 199 AS STRING) || '.7' AS text FROM {{customer}}
 """
+#: Letters with telephone numbers, bank accounts and addresses of either kind, some of them broken.
+CONTACTS = """
+SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'Tel. +34 ' || CAST(600 + c_custkey % 300 AS STRING) || '-' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') || '-' || lpad(CAST(c_custkey * 7 % 1000 AS STRING), 3, '0')
+    WHEN 1 THEN 'Tel. ' || CAST(600 + c_custkey % 300 AS STRING) || ' ' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || ' 23 ' || lpad(CAST(c_custkey * 3 % 100 AS STRING), 2, '0')
+    WHEN 2 THEN 'Tel. 0034 ' || CAST(600 + c_custkey % 300 AS STRING) || ' 111 2' || CAST(c_custkey % 10 AS STRING) ELSE 'Tel. ' || CAST(900 + c_custkey % 90 AS STRING) || '.555.' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') END
+  || ', account ES' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE '' END || '2100' || CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE '' END || '0418' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' 4502 ' END || lpad(CAST(c_custkey * 37 % 10000 AS STRING), 4, '0')
+  || ', host 2001:db8:0:' || CAST(c_custkey % 10 AS STRING) || '::' || CAST(c_custkey % 97 AS STRING) || ' via 192.168.' || CAST(c_custkey % 300 AS STRING) || '.1' AS text
+FROM {customer}
+"""
 #: Spans of two detectors that overlap in many ways.
 SPANS = """
 SELECT o_orderkey AS doc_id, CASE WHEN i % 2 = 0 THEN '01-REGEX' ELSE '02-SPACY' END AS component, CAST(i % 2 + 1 AS INT) AS comp_idx, CAST(i AS INT) AS det_idx,

@@ -56,6 +56,11 @@ def read(spark: SparkSession, path: str, text_field: str = "text", id_field: str
         numbered = rows.rdd.zipWithIndex().map(lambda x: (*x[0], f"doc-{x[1]}"))  # the only way to number lines in file order without one task
         rows = spark.createDataFrame(numbered, T.StructType([*schema.fields, T.StructField("_id", T.StringType())]))
         id_field = "_id"
+    return projected(rows, text_field, id_field, gold_field, strict)
+
+
+def projected(rows: DataFrame, text_field: str, id_field: str, gold_field: str | None = None, strict: bool = True) -> DataFrame:
+    """doc_id, text, gold, metadata from the strings of a line's fields."""
     empty = F.coalesce(F.length(text_field) == 0, F.lit(True))
     text = F.when(empty, F.raise_error(F.lit(f"a document has no {text_field}"))).otherwise(F.col(text_field)) if strict else F.col(text_field)
     rows = rows if strict else rows.where(~empty)
