@@ -169,8 +169,8 @@ def span_dedupe(spark, d):
     return overlap.deduplicated(rows.unionByName(rows.withColumn("det_idx", F.col("det_idx") + 100))).select("doc_id", "component", "start", "stop", "entity_type", "det_idx")
 
 
-def _sql_walk(threshold: float, cross: bool) -> str:
-    """doc_id, acc: the kept spans as a list, by a fold over the sorted candidates."""
+def _sql_walk(threshold: float, cross: bool, source: str = C.duck(C.SPANS)) -> str:
+    """doc_id, acc: the kept spans as a list, by a fold over the sorted candidates of source."""
     conflict = lambda k, x: f"({'true' if cross else f'{k}.entity_type = {x}.entity_type'} AND {_sql_iou(f'{k}.start', f'{k}.stop', f'{x}.start', f'{x}.stop')} > {threshold})"
     weight = lambda s: f"[{s}.confidence, ({s}.stop - {s}.start)::DOUBLE, (-{s}.start)::DOUBLE]"
     x = "b[1]"
@@ -179,7 +179,7 @@ def _sql_walk(threshold: float, cross: bool) -> str:
     anything = f"len(list_filter(acc, lambda k: {conflict('k', x)})) > 0"
     step = f"CASE WHEN NOT {anything} THEN list_concat(acc, b) WHEN coalesce({wins}, false) THEN list_concat(list_filter(acc, lambda k: NOT (k.comp_idx = {met}.comp_idx AND k.det_idx = {met}.det_idx)), b) ELSE acc END"
     item = f"{{'prio': prio, 'hier': hier, 'comp_idx': comp_idx, 'det_idx': det_idx, 'start': start, 'stop': stop, 'entity_type': {_sql_kind('entity_type')}, 'id': id, 'confidence': confidence}}"
-    lists = f"SELECT doc_id, list([{item}] ORDER BY prio, hier, comp_idx, det_idx) AS cs FROM {C.duck(C.SPANS)} GROUP BY doc_id"
+    lists = f"SELECT doc_id, list([{item}] ORDER BY prio, hier, comp_idx, det_idx) AS cs FROM {source} GROUP BY doc_id"
     return f"SELECT doc_id, list_reduce(cs, lambda acc, b: {step}) AS acc FROM ({lists})"
 
 
@@ -262,7 +262,34 @@ query(_sql_mask("ENTITY_TAG"), "mask_entity_tag")(_mask_query("ENTITY_TAG"))
 query(_sql_mask("ASTERISK"), "mask_asterisk")(_mask_query("ASTERISK"))
 
 
-@query()
+def _sql_found(source: str) -> str:
+    """All identifiers of the texts of source (doc_id, text) as candidates, by pattern, then position."""
+    place = f"list_position([{', '.join(repr(p.name) for p in patterns.PATTERNS)}], entity_type)"
+    return f"(SELECT doc_id, 1000000 AS prio, 0 AS hier, 1 AS comp_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {place}, start) - 1 AS INT) AS det_idx, start, stop, entity_type, NULL::VARCHAR AS id, confidence FROM ({_sql_spans(source, 'doc_id', 'text')}))"
+
+
+def _sql_masked_documents() -> str:
+    kept = f"SELECT doc_id, unnest(acc) AS s, unnest(range(1, len(acc) + 1)) AS pos FROM ({_sql_walk(0.2, True, _sql_found('documents'))})"
+    reach = "coalesce(max(s.stop) OVER (PARTITION BY doc_id ORDER BY s.start, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    parts = f"SELECT doc_id, s, pos, text, {reach} AS beg, max(s.stop) OVER (PARTITION BY doc_id) AS fin FROM ({kept}) JOIN documents USING (doc_id)"
+    spliced = f"SELECT doc_id, count(*) AS n, string_agg(CASE WHEN s.start > beg THEN substr(text, beg + 1, s.start - beg) ELSE '' END || '[' || s.entity_type || ']', '' ORDER BY s.start, pos) || substr(any_value(text), any_value(fin) + 1) AS masked_text FROM ({parts}) GROUP BY doc_id"
+    return f"SELECT d.doc_id, CAST(coalesce(n, 0) AS INT) AS n_entities, coalesce(masked_text, text) AS masked_text FROM documents d LEFT JOIN ({spliced}) m ON d.doc_id = m.doc_id"
+
+
+def _sql_escaped(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _sql_highlighted() -> str:
+    letters = C.duck(C.LETTERS)
+    kept = f"SELECT doc_id, unnest(acc) AS s FROM ({_sql_walk(0.0, True, _sql_found(letters))})"
+    parts = f"SELECT doc_id, s, text, coalesce(lag(s.stop) OVER (PARTITION BY doc_id ORDER BY s.start), 0) AS beg, max(s.stop) OVER (PARTITION BY doc_id) AS fin FROM ({kept}) JOIN {letters} USING (doc_id)"
+    before, within = _sql_escaped("substr(text, beg + 1, s.start - beg)"), _sql_escaped("substr(text, s.start + 1, s.stop - s.start)")
+    marked = f"SELECT doc_id, string_agg({before} || '<mark title=\"' || s.entity_type || '\">' || {within} || '</mark>', '' ORDER BY s.start) || {_sql_escaped('substr(any_value(text), any_value(fin) + 1)')} AS html FROM ({parts}) GROUP BY doc_id"
+    return f"SELECT l.doc_id, coalesce(m.html, {_sql_escaped('l.text')}) AS html FROM {letters} l LEFT JOIN ({marked}) m ON l.doc_id = m.doc_id"
+
+
+@query(_sql_masked_documents())
 def mask_documents(spark, d):
     """Flagship: identifiers of documents found, overlaps resolved across types, masked."""
     docs = table(spark, d, "documents")
@@ -271,7 +298,7 @@ def mask_documents(spark, d):
     return out.select("doc_id", F.coalesce(F.size("entities"), F.lit(0)).alias("n_entities"), "masked_text")
 
 
-@query()
+@query(_sql_highlighted())
 def highlight_documents(spark, d):
     docs = C.frame(spark, d, C.LETTERS)
     out = mask.masked(docs, overlap.resolved(overlap.ranked(detect.by_pattern(docs)), 0.0, "cross_type"))
@@ -325,10 +352,28 @@ def entity_ids(spark, d):
     return resolve.resolved(C.frame(spark, d, C.MENTIONS))
 
 
-@query()
+_CACHE = "SELECT n_nationkey AS doc_id, 'NAME' AS entity_type, CAST(i + 3 AS INT) AS id, CASE i WHEN 0 THEN 'Acme 1111111' ELSE n_name || ' 44444' END AS alias FROM {nation} CROSS JOIN (VALUES (0), (1)) AS t(i)"
+
+
+def _sql_cached() -> str:
+    c = C.duck(_CACHE)
+    key = lambda a, b, *more: " AND ".join(f"{a}.{k} = {b}.{k}" for k in ("doc_id", "entity_type", *more))
+    grams = lambda rows, item, text: f"(SELECT doc_id, entity_type, {item}, substr(p, i, 3) AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, length(p) - 1)) AS i FROM (SELECT *, '^' || trim(regexp_replace(lower({text}), '\\s+', ' ', 'g')) || '$' AS p FROM {rows})) GROUP BY ALL)"
+    mentions = f"m AS (SELECT t.*, n.node, r.root FROM {C.duck(C.MENTIONS)} t JOIN {_NODES} n ON {key('t', 'n', 'mention')} JOIN roots r ON {key('r', 'n', 'node')})"
+    exact = f"exact AS (SELECT m.doc_id, m.entity_type, m.root, arg_min(o.id, m.ord) AS id FROM m JOIN (SELECT doc_id, entity_type, alias, max(id) AS id FROM {c} GROUP BY ALL) o ON {key('m', 'o')} AND m.mention = o.alias GROUP BY ALL)"
+    vectors = f"a AS {grams('(SELECT DISTINCT doc_id, entity_type, node, root, mention FROM m WHERE ord = node)', 'node, root', 'mention')}, b AS {grams(c, 'id, alias', 'alias')}"
+    norms = "na AS (SELECT doc_id, entity_type, node, sqrt(sum(n * n)) AS norm FROM a GROUP BY ALL), nb AS (SELECT doc_id, entity_type, id, alias, sqrt(sum(n * n)) AS norm FROM b GROUP BY ALL)"
+    dots = f"dots AS (SELECT a.doc_id, a.entity_type, a.node, a.root, b.id, b.alias, sum(a.n * b.n) AS dot FROM a JOIN b ON {key('a', 'b', 'gram')} GROUP BY ALL)"
+    near = f"near AS (SELECT d.doc_id, d.entity_type, d.root, arg_max(d.id, [dot / (na.norm * nb.norm), -d.id]) AS id FROM dots d JOIN na ON {key('d', 'na', 'node')} JOIN nb ON {key('d', 'nb', 'id', 'alias')} WHERE dot / (na.norm * nb.norm) >= 0.75 GROUP BY ALL)"
+    groups = f"g AS (SELECT f.*, coalesce(e.id, x.id) AS known, coalesce(t.top, 0) AS top FROM (SELECT doc_id, entity_type, root, min([start, ord]) AS first FROM m GROUP BY ALL) f LEFT JOIN exact e ON {key('f', 'e', 'root')} LEFT JOIN near x ON {key('f', 'x', 'root')} LEFT JOIN (SELECT doc_id, entity_type, max(id) AS top FROM {c} GROUP BY ALL) t ON {key('f', 't')})"
+    ids = "i AS (SELECT *, CAST(coalesce(known, top + row_number() OVER (PARTITION BY doc_id, entity_type, known IS NULL ORDER BY first)) AS INT) AS id FROM g)"
+    return f"WITH roots AS ({_ROOTS}), {mentions}, {exact}, {vectors}, {norms}, {dots}, {near}, {groups}, {ids} SELECT m.doc_id, m.entity_type, m.ord, i.id FROM m JOIN i ON {key('m', 'i', 'root')}"
+
+
+@query(_sql_cached())
 def cache_ids(spark, d):
     """Mentions against a cache of aliases, exact and close ones."""
-    cache = C.frame(spark, d, "SELECT n_nationkey AS doc_id, 'NAME' AS entity_type, CAST(i + 3 AS INT) AS id, CASE i WHEN 0 THEN 'Acme 1111111' ELSE n_name || ' 44444' END AS alias FROM {nation} CROSS JOIN (VALUES (0), (1)) AS t(i)")
+    cache = C.frame(spark, d, _CACHE)
     return resolve.resolved(C.frame(spark, d, C.MENTIONS), 0.75, cache)
 
 
@@ -394,8 +439,30 @@ def _by_id_query(optimal):
     return lambda spark, d: _rounded(evaluate.summed(evaluate.counted_by_id(_pairs(spark, d), "iou@0.50_by_id", 0.5, optimal)))
 
 
-query(None, "eval_by_id_greedy")(_by_id_query(False))
-query(None, "eval_by_id_hungarian")(_by_id_query(True))
+def _sql_by_id(optimal: bool, t: float = 0.5) -> str:
+    """Counts by id. In these corpora a document has two ids of a type at most on either side, so an assignment is one of two."""
+    sides = {k: f"{k} AS (SELECT doc_id, entity_type, ord, start, stop, id, dense_rank() OVER (PARTITION BY doc_id, entity_type ORDER BY seen) - 1 AS i FROM (SELECT *, min(ord) OVER (PARTITION BY doc_id, entity_type, id) AS seen FROM {C.duck(rows)}))" for k, rows in (("pr", C.PREDS), ("go", C.GOLDS))}
+    scores = f"sc AS (SELECT pr.doc_id, pr.entity_type, pr.i, go.i AS j, count(*) FILTER (WHERE {_sql_iou('pr.start', 'pr.stop', 'go.start', 'go.stop')} >= {t}) AS s FROM pr JOIN go ON pr.doc_id = go.doc_id AND pr.entity_type = go.entity_type GROUP BY ALL)"
+    if optimal:
+        cell = lambda i, j: f"coalesce(max(CASE WHEN i = {i} AND j = {j} THEN CASE WHEN s > 0 THEN -s ELSE 1000000000 END END), 0)"
+        kept = "CASE WHEN c00 <= c01 THEN c00 + c11 <= c01 + c10 ELSE NOT c01 + c10 <= c00 + c11 END"
+        pick = f"tab AS (SELECT doc_id, entity_type, {', '.join(f'{cell(i, j)} AS c{i}{j}' for i in (0, 1) for j in (0, 1))} FROM sc GROUP BY ALL), mp AS (SELECT sc.doc_id, sc.entity_type, sc.i, sc.j FROM sc JOIN (SELECT *, {kept} AS straight FROM tab) t ON sc.doc_id = t.doc_id AND sc.entity_type = t.entity_type WHERE s > 0 AND (sc.i = sc.j) = straight)"
+    else:
+        ranked = "rk AS (SELECT sc.*, row_number() OVER (PARTITION BY sc.doc_id, sc.entity_type ORDER BY -s, f.first, sc.i, sc.j) AS r FROM sc JOIN (SELECT doc_id, entity_type, i AS j, min(start) AS first FROM go GROUP BY ALL) f ON sc.doc_id = f.doc_id AND sc.entity_type = f.entity_type AND sc.j = f.j WHERE s > 0)"
+        pick = f"{ranked}, mp AS (SELECT doc_id, entity_type, i, j FROM rk WHERE r = 1 UNION ALL SELECT x.doc_id, x.entity_type, x.i, x.j FROM rk x JOIN rk y ON x.doc_id = y.doc_id AND x.entity_type = y.entity_type AND y.r = 1 AND x.i <> y.i AND x.j <> y.j)"
+    score = _sql_iou("b[1].start", "b[1].stop", "x.k.start", "x.k.stop")
+    free = f"list_sort(list_filter(list_transform(list_filter(list_transform(g, lambda k, j: {{'k': k, 'j': j}}), lambda x: x.k.id = b[1].goal), lambda x: {{'s': -{score}, 'j': x.j}}), lambda r: NOT list_contains(acc[1].used, r.j) AND -r.s >= {t}))"
+    none = "list_filter([0::BIGINT], lambda z: false)"
+    step = f"CASE WHEN b[1].goal IS NULL OR len({free}) = 0 THEN acc ELSE [{{'start': 0, 'stop': 0, 'goal': NULL::BIGINT, 'used': list_append(acc[1].used, {free}[1].j)}}] END"
+    p = f"(SELECT pr.doc_id, pr.entity_type, list([{{'start': start, 'stop': stop, 'goal': mp.j, 'used': {none}}}] ORDER BY ord) AS p FROM pr LEFT JOIN mp ON pr.doc_id = mp.doc_id AND pr.entity_type = mp.entity_type AND pr.i = mp.i GROUP BY ALL)"
+    g = "(SELECT doc_id, entity_type, list({'start': start, 'stop': stop, 'id': i} ORDER BY ord) AS g FROM go GROUP BY ALL)"
+    both = f"SELECT coalesce(p.doc_id, g.doc_id) AS doc_id, coalesce(p.entity_type, g.entity_type) AS entity_type, coalesce(p.p, []) AS p, coalesce(g.g, []) AS g FROM {p} p FULL JOIN {g} g ON p.doc_id = g.doc_id AND p.entity_type = g.entity_type"
+    fold = f"CASE WHEN len(p) = 0 THEN 0 ELSE len(list_reduce(list_prepend([{{'start': 0, 'stop': 0, 'goal': NULL::BIGINT, 'used': {none}}}], p), lambda acc, b: {step})[1].used) END"
+    return f"WITH {sides['pr']}, {sides['go']}, {scores}, {pick} SELECT doc_id, entity_type, tp, len(p) - tp AS fp, len(g) - tp AS fn FROM (SELECT *, {fold} AS tp FROM ({both}))"
+
+
+query(_sql_rates(_sql_by_id(False), "(entity_type), ()"), "eval_by_id_greedy")(_by_id_query(False))
+query(_sql_rates(_sql_by_id(True), "(entity_type), ()"), "eval_by_id_hungarian")(_by_id_query(True))
 
 
 @query(f"SELECT coalesce(p.doc_id, g.doc_id) AS doc_id, count(*) FILTER (WHERE p.doc_id IS NOT NULL AND g.doc_id IS NOT NULL) AS tp, count(*) FILTER (WHERE g.doc_id IS NULL) AS fp, count(*) FILTER (WHERE p.doc_id IS NULL) AS fn FROM (SELECT DISTINCT doc_id, start, stop, entity_type FROM {C.duck(C.PREDS)}) p FULL JOIN (SELECT DISTINCT doc_id, start, stop, entity_type FROM {C.duck(C.GOLDS)}) g ON p.doc_id = g.doc_id AND p.start = g.start AND p.stop = g.stop AND p.entity_type = g.entity_type GROUP BY 1")
@@ -502,7 +569,20 @@ def api_truncation_flag(spark, d):
     return C.frame(spark, d, C.ANSWERS).select("doc_id", flag.alias("truncated"))
 
 
-@query()
+def _sql_diff() -> str:
+    """Spans behind one or two tokens; in these answers each literal stands in the text after the one before it."""
+    token = r"(?i)\[([A-Z_]+)(\d*)\]"
+    rows = f"SELECT doc_id, text, string_split_regex(masked, '{token}') AS l, regexp_extract_all(masked, '{token}', 1) AS k, regexp_extract_all(masked, '{token}', 2) AS n FROM {C.duck(C.ANSWERS)}"
+    find = lambda x, at: f"({at} + position({x} IN substr(text, CAST({at} + 1 AS INT))) - 1)"
+    one = f"SELECT *, {find('l[1]', '0')} + length(l[1]) AS a1 FROM ({rows}) WHERE len(k) > 0"
+    two = f"SELECT *, {find('l[2]', 'a1')} AS b1 FROM ({one})"
+    three = f"SELECT *, CASE WHEN len(k) > 1 THEN b1 + length(l[2]) END AS a2 FROM ({two})"
+    four = f"SELECT *, CASE WHEN len(k) > 1 THEN {find('l[3]', 'a2')} END AS b2 FROM ({three})"
+    each = f"SELECT doc_id, a1 AS a, b1 AS b, k[1] AS k, n[1] AS n FROM ({four}) UNION ALL SELECT doc_id, a2, b2, k[2], n[2] FROM ({four}) WHERE len(k) > 1"
+    return f"SELECT doc_id, CAST(a AS INT) AS start, CAST(b AS INT) AS stop, {_sql_kind('k')} AS entity_type, CASE WHEN n <> '' THEN coalesce(nullif(ltrim(n, '0'), ''), '0') END AS id, 1.0::DOUBLE AS confidence FROM ({each}) WHERE a < b"
+
+
+@query(_sql_diff())
 def api_diff_spans(spark, d):
     return diff.diffs(C.frame(spark, d, C.ANSWERS))
 
