@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import json
-import logging
 import sys
 import time
 
 from pyspark.sql import SparkSession
 
-from .operators import evaluate
+from . import logs
+from .operators import evaluate, models  # noqa: F401  models registers detectors
 from .plans import config, pipeline, reports
 from .sources import jsonl
 
 
 def main(argv: list[str]) -> None:
-    logging.basicConfig(level=logging.INFO, format="%(levelname)s %(name)s: %(message)s")
+    logger = logs.set_up()
     spark = SparkSession.builder.appName("quillmask").getOrCreate()
     for cfg in config.from_command_line(argv):
         began = time.time()
@@ -31,7 +31,7 @@ def main(argv: list[str]) -> None:
             (folder / "metrics.json").write_text(json.dumps(found))
             if summary is not None:
                 (folder / "summary.md").write_text(reports.markdown(summary))
-        logging.getLogger("quillmask").info("wrote %s", out)
+        logger.info("wrote %s", out)
 
 
 if __name__ == "__main__":

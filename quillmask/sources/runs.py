@@ -10,8 +10,8 @@ SCHEMA = f"""run_id string, ts_epoch double, documents_processed_total bigint, o
  durations map<string,struct<p50:double,p95:double>>, evaluation map<string,struct<global_all_types:{_RATES},global_by_type:map<string,{_RATES}>>>"""
 
 
-def read(spark: SparkSession, pattern: str) -> DataFrame:
-    """One row per metrics.json under the pattern, with its time of change."""
+def read(spark: SparkSession, pattern: str | list[str]) -> DataFrame:
+    """One row per metrics.json under the pattern or patterns, with its time of change."""
     rows = spark.read.schema(SCHEMA).option("multiLine", True).json(pattern)
     return rows.select("*", F.col("_metadata.file_modification_time").alias("mtime"))
 
