@@ -81,6 +81,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+#: White space that parts words, as in str.split.
+_SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (
+  SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^{_SPACE}]+[{_SPACE}]*') AS pieces FROM d)),
+w AS (
+  SELECT doc_id, i, piece, md5(string_agg(regexp_replace(piece, '[{_SPACE}]+$', ''), ' ') OVER f) AS own, count(*) OVER f AS n
+  FROM p WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING)),
+o AS (SELECT own, min(doc_id) AS earliest FROM w WHERE n = 40 GROUP BY own),
+g AS (SELECT doc_id, i, piece, n = 40 AND coalesce(earliest < doc_id, false) AS gone FROM w LEFT JOIN o USING (own)),
+k AS (SELECT doc_id, i, piece, bool_or(gone) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS lost FROM g)
+SELECT d.doc_id, regexp_extract(any_value(d.text), '^[{_SPACE}]*') || coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT lost), '') AS text,
+  count(*) FILTER (WHERE lost) AS n_deleted
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+"""
+
 OP7_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -113,4 +131,4 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 """
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_lm_score, op4_packing, op5_fingerprint, op6_simhash, op7_chat_format, op8_url_filter, op9_quality, op10_bpe)}
-ORACLES = {"op7_chat_format": OP7_SQL, "op8_url_filter": OP8_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op7_chat_format": OP7_SQL, "op8_url_filter": OP8_SQL}

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from ._base import cut, ship, stored, texts
 
-#: Words from which a line is cut at the next end of a sentence; lines are only counted.
+#: Words from which a line is cut at the next end of a sentence.
 CUT = 4
 PIECES = re.compile(r"[^.!?\n]+[.!?]*[^\S\n]*\n?|[.!?]+[^\S\n]*\n?|\n").findall
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -228,7 +228,7 @@ def shared_windows(docs: DataFrame, min_words: int = 40) -> DataFrame:
 
 
 def edited(text: str, gone: list[int], least: int) -> tuple[str, int]:
-    """The text without the words of its windows in gone (hashes of groups and of windows), and the number of its lines that lose any."""
+    """The text without the words of its windows in gone (hashes of groups and of windows), and how many words that are."""
     raw = _bytes(text)
     w = windows_of([_blanked(text)], least)
     edge = np.zeros(len(w.start) + 1, np.int64)
@@ -239,16 +239,14 @@ def edited(text: str, gone: list[int], least: int) -> tuple[str, int]:
     np.add.at(edge, hit + least, -1)
     drop = np.cumsum(edge[:-1]) > 0
     ends = np.r_[w.start[1:], len(raw)]
-    lines = np.cumsum([len(_bytes(x)) for x in units(text)[0]])
-    lost = len(np.unique(np.searchsorted(lines, w.start[drop], "right")))
     new = _changes(drop)
     parts = [raw[: w.start[0]]] if len(w.start) else [raw]
     parts += [raw[w.start[i] : ends[j - 1]] for i, j in zip(new, [*new[1:], len(drop)], strict=True) if not drop[i]] if len(new) else []
-    return b"".join(parts).decode("utf-8", "surrogatepass"), lost
+    return b"".join(parts).decode("utf-8", "surrogatepass"), int(drop.sum())
 
 
 def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
-    """docs with all their columns, the text (null: empty) edited, and _n_deleted, the number of lines that lose words."""
+    """docs with all their columns, the text (null: empty) edited, and _n_deleted, the number of words that go."""
     found = shared_windows(texts(docs, id_col, text_col), min_words)
     gone = found.groupBy(F.col("doc_id").alias("_later")).agg(F.collect_set("hash").alias("_gone"))
 
@@ -267,7 +265,7 @@ def edit_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 40) -> DataFrame:
-    """doc_id, text (edited), n_deleted (lines) for every row."""
+    """doc_id, text (edited), n_deleted (words) for every row."""
     return edit_documents(texts(docs, id_col, text_col), min_words=min_words).withColumnRenamed("_n_deleted", "n_deleted")
 
 
