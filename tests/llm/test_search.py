@@ -254,6 +254,38 @@ def test_packing(spark):
     assert packing.pack(table(spark, []), path).count() == 0
 
 
+def test_packing_encodes_as_the_tokenizer_does(spark):
+    path = catalog.vocabulary("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    docs = [r["text"] or "" for r in catalog.table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    docs += ["", " ", "ÀÖ×ØÞß÷ÿ Ä×B ÷ ß ÑANDÚ élô ÉCOLE,", "İstanbul İx Å Ünïcödé  x\x1cy KK ﬁne 😀 it's DON'T (well)... a　b Ŀ Ǆ ŉ", "...", "a" * 70, "x" * 64 + "!" * 70]
+    words = packing.Words(path)
+    n, ids = words.encode(pa.array(docs), 1)
+    want = [[*e.ids, 1] for e in tok.encode_batch(docs, add_special_tokens=False)]
+    assert n.tolist() == [len(x) for x in want]
+    assert [np.frombuffer(x, words.kind).tolist() for x in ids.to_pylist()] == want
+
+
+def test_packing_deals_by_content_and_not_by_partitions(spark):
+    path = catalog.vocabulary("word_bpe_49k.json")
+    docs = [(i, prose(i // 2, 400)) for i in range(60)] + [(100 + i, prose(5, 400)) for i in range(40)]  # pairs, and a group of copies
+    runs = []
+    for parts in ("3", "7"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            rows = packing.pack(table(spark, docs), path, shard_tokens=20_000).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        runs.append(sorted((r["sequence_id"], r["offset"], r["doc_id"], r["start"], r["length"]) for r in rows))
+    assert runs[0] == runs[1]
+    shard = {d: s >> 32 for s, _, d, _, _ in runs[0]}
+    assert len(set(shard.values())) > 3 and sum(shard[2 * i] == shard[2 * i + 1] for i in range(30)) >= 12  # by chance: 30 of the number of shards
+
+
 def test_packing_puts_neighbours_together():
     r = np.random.default_rng(0)
     docs = [np.r_[r.integers(1000 * (i % 3), 1000 * (i % 3) + 60, 100), 1] for i in range(30)]
