@@ -148,6 +148,22 @@ def keys_of(f: np.ndarray, positions: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+#: Groups up to this size are compared many at a time, to find those that hold a link at all.
+SMALL = 24
+
+
+def linked_groups(f: np.ndarray, begins: np.ndarray, ends: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the groups of rows of f have two rows or more and, as far as they are small, a link."""
+    size, f = ends - begins, f.view(np.uint64)
+    out = size > SMALL
+    for m in range(2, SMALL + 1):
+        own = np.flatnonzero(size == m)
+        rows = f[begins[own, None] + np.arange(m)]
+        for d in range(1, m):
+            out[own] |= (np.bitwise_count(rows[:, d:] ^ rows[:, :-d]).sum(axis=-1, dtype=np.int64) <= distance).any(axis=1)
+    return out
+
+
 def forest(f: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Edges, as rows of f, of a spanning forest of the links among distinct fingerprints."""
     f = f.view(np.uint64)
@@ -195,9 +211,10 @@ def links(fps: DataFrame, positions: list[np.ndarray], distance: int, width: int
 
         def edges(x: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
             u, v = [], []
-            begins = np.r_[0, ends[:-1]]
-            for a, b in zip(begins[ends - begins > 1], ends[ends - begins > 1], strict=True):
-                own = np.ascontiguousarray(x[a:b, :width])
+            f, begins = np.ascontiguousarray(x[:, :width]), np.r_[0, ends[:-1]].astype(np.int64)
+            some = linked_groups(f, begins, ends, distance)
+            for a, b in zip(begins[some], ends[some], strict=True):
+                own = f[a:b]
                 if pairs := forest(own, distance):
                     nodes = node_of(own).tolist()
                     u += [nodes[i] for i, _ in pairs]
