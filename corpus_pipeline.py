@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmask.llm import catalog, line_dedup, packing, quality, simhash, toxicity
-from quillmask.llm._base import stored
+from quillmask.llm._base import drop, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = catalog.table(spark, sf_dir, "documents")
+    before = None
     for n, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES):
             docs = stored(docs)
+            if before is not None:  # nothing reads it any more
+                drop(before)
+            before = docs
     return docs
