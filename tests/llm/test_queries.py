@@ -193,8 +193,8 @@ def test_pipeline_stage_by_stage(spark, docs):
     import pyarrow as pa
 
     order = sorted(want)
-    f = simhash.wide(pa.array([want[d] for d in order]), 5, 8).view(np.uint64)
-    near = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2) <= 88
+    f = simhash.wide(pa.array([want[d] for d in order]), 5, 16).view(np.uint64)
+    near = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2) <= 168
     root = list(range(len(order)))
     for i in range(len(order)):
         for j in range(i):
