@@ -82,15 +82,16 @@ def classed(rows: DataFrame, docs: DataFrame, of: Callable[[str], str] = digest,
     """rows (doc_id and fingerprint, one for each row of docs, and other columns) with class_id, the smallest doc_id of its class, and class_size."""
     docs = texts(docs, id_col, text_col)
     shared = cut(fingerprints(docs, of).groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
-    groups = cut(_canonical_rows(docs, of, _filter(shared)).groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
+    groups = _canonical_rows(docs, of, _filter(shared)).groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     by_digest = groups.groupBy("fingerprint").agg(F.count("*").alias("texts"), F.min("class_id").alias("class_id"), F.max("class_size").alias("class_size"))
-    found = rows.join(cut(by_digest.where("class_size > 1 or texts > 1")), "fingerprint", "left")
+    by_digest = cut(by_digest.where("class_size > 1 or texts > 1"))
+    found = rows.join(by_digest, "fingerprint", "left")
     alone = found.withColumns({"class_id": F.coalesce("class_id", "doc_id"), "class_size": F.coalesce("class_size", F.lit(1).cast("long"))}).where("texts is null or texts = 1").drop("texts")
     collided = cut(by_digest.where("texts > 1").select("fingerprint"))
     if collided.isEmpty():
         return alone
     # Different texts share a digest: their rows are told apart by bytes, row by row.
-    told = _canonical_rows(docs, of, _filter(collided)).join(collided, "fingerprint").join(groups, ["fingerprint", "canonical"])
+    told = _canonical_rows(docs, of, _filter(collided)).join(collided, "fingerprint").join(groups.join(collided, "fingerprint"), ["fingerprint", "canonical"])
     told = told.groupBy("doc_id", "fingerprint", "class_id", "class_size").count().drop("count")
     apart = found.where("texts > 1").drop("texts", "class_id", "class_size").alias("r")
     same = F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.fingerprint") == F.col("t.fingerprint"))
