@@ -6,6 +6,7 @@ matches and the matches before it, so one fold over both arrays gives all offset
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,21 @@ PATTERNS = (
 )
 BY_NAME = {p.name: p for p in PATTERNS}
 FLAGS = "(?imuU)"
+_WORD = "[0-9A-Za-z_]"
+
+
+def re2(regex: str) -> str:
+    """The regex with its flags as RE2, and so DuckDB, reads it under (?im): words, digits and white space of ASCII only, no vertical tab.
+
+    Letters fold by Unicode's simple folding (the long s is an S, the Kelvin sign a K, dotless i no I); letters have to stand in classes.
+    """
+
+    def folded(m: re.Match) -> str:
+        also = "".join(code for letter, code in (("S", "\\u017F"), ("K", "\\u212A")) if re.fullmatch(m[0], letter, re.IGNORECASE))
+        return "[" + also + m[0][1:].replace(r"\s", r"\t\n\f\r ")
+
+    first = re.sub(r"\\b(\\d|\[[^]]+\])", r"(?=\1)\\b\1", regex)  # most places fail by their character, before the costlier boundary
+    return "(?im)" + re.sub(r"\[[^]]+\]", folded, first).replace(r"\b", f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))")
 
 
 def matches(text: Column, regex: str) -> Column:
@@ -62,15 +78,15 @@ def _typed(p: Pattern):
     return lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["match"].alias("match"), F.lit(p.name).alias("entity_type"), F.lit(p.confidence).alias("base"))
 
 
-def spans(text: Column, names: tuple[str, ...] | None = None) -> Column:
-    """array<struct<start,stop,match,entity_type,base>> of the named patterns (all), by pattern, then position.
+def spans(text: Column, names: tuple[str, ...] | None = None, ascii_words: bool = False) -> Column:
+    """array<struct<start,stop,match,entity_type,base>> of the named patterns (all), by pattern, then position; ascii_words: as re2() reads them.
 
     A cheap hint and a search without groups come first, so texts without a match are scanned once and never split.
     """
     out = []
     for p in PATTERNS:
         if names is None or p.name in names:
-            regex = FLAGS + p.regex
+            regex = re2(p.regex) if ascii_words else FLAGS + p.regex
             found = F.transform(matches(text, regex), _typed(p))
             hint = text.contains(p.hint) if len(p.hint) == 1 else text.rlike(p.hint)
             out.append(F.when(hint & text.rlike(regex), found).otherwise(F.array().cast("array<struct<start:int,stop:int,match:string,entity_type:string,base:double>>")))

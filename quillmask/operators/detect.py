@@ -17,9 +17,9 @@ from ..functions import checksums, kinds, patterns, spans
 SPANS = "doc_id {id}, component string, comp_idx int, det_idx int, start int, stop int, entity_type string, id string, replacement string, confidence double"
 
 
-def by_pattern(docs: DataFrame, component: str = "01-REGEX", comp_idx: int = 1, names: tuple[str, ...] | None = None, min_confidence: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One projection finds all patterns; min_confidence 0 keeps every match."""
-    found = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), F.posexplode(patterns.spans(F.col(text_col), names)).alias("det_idx", "s"))
+def by_pattern(docs: DataFrame, component: str = "01-REGEX", comp_idx: int = 1, names: tuple[str, ...] | None = None, min_confidence: float = 0.0, id_col: str = "doc_id", text_col: str = "text", ascii_words: bool = False) -> DataFrame:
+    """One projection finds all patterns; min_confidence 0 keeps every match. Words and digits are Unicode's, with ascii_words ASCII's as in DuckDB."""
+    found = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), F.posexplode(patterns.spans(F.col(text_col), names, ascii_words)).alias("det_idx", "s"))
     confidence = checksums.confidence(F.col("s.entity_type"), F.col("s.base"), F.col("s.match"))
     out = found.select(
         "doc_id", F.lit(component).alias("component"), F.lit(comp_idx).alias("comp_idx"), "det_idx", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"),

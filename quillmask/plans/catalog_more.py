@@ -9,13 +9,13 @@ from ..operators import compare, detect, evaluate, mask, metrics, overlap, resol
 from ..sources import jsonl
 from . import corpora as C
 from . import plots
-from .catalog import _DOCS, _EXACT, _MULTI, _pairs, _sql_kind, _sql_spans, _sql_valid, exact6, query, table
+from .catalog import _DOCS, _EXACT, _MULTI, _pairs, _sql_kind, _sql_spans, _sql_valid, exact6, found, query, table
 
 # Detection.
 
 
 def _contacts_query(name):
-    return lambda spark, d: detect.by_pattern(C.frame(spark, d, C.CONTACTS), names=(name,)).select("doc_id", "entity_type", "start", "stop", "replacement", "confidence")
+    return lambda spark, d: found(C.frame(spark, d, C.CONTACTS), names=(name,)).select("doc_id", "entity_type", "start", "stop", "replacement", "confidence")
 
 
 for _p in ("PHONE", "IBAN", "IPV6"):
@@ -23,7 +23,7 @@ for _p in ("PHONE", "IBAN", "IPV6"):
 
 
 def _idents_query(name):
-    return lambda spark, d: detect.by_pattern(C.frame(spark, d, C.IDENTS), names=(name,), text_col="ident").select("doc_id", "entity_type", "start", "stop", "replacement", "confidence")
+    return lambda spark, d: found(C.frame(spark, d, C.IDENTS), names=(name,), text_col="ident").select("doc_id", "entity_type", "start", "stop", "replacement", "confidence")
 
 
 for _p in ("DNI", "CIF", "NIE"):
@@ -64,7 +64,7 @@ def supported_types(spark, d):
 @query(f"SELECT doc_id, entity_type, count(*) AS n FROM ({_sql_spans('(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE ' + chr(39) * 2 + ' END AS text FROM documents)', 'doc_id', 'text', ('IPV4', 'EMAIL'))}) GROUP BY ALL")
 def empty_text_detects_nothing(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("").alias("text"))
-    return detect.by_pattern(docs, names=("IPV4", "EMAIL")).groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
+    return found(docs, names=("IPV4", "EMAIL")).groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT component, entity_type, det_idx, count(*) AS n FROM {C.duck(C.SPANS)} GROUP BY ALL UNION ALL SELECT '03-MORE', entity_type, CAST(det_idx + 10 AS INT), count(*) FROM {C.duck(C.SPANS)} WHERE det_idx < 2 GROUP BY ALL")
