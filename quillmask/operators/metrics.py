@@ -13,10 +13,10 @@ def detected(found: DataFrame, component_types: DataFrame | None = None) -> Data
     return found.groupBy(F.coalesce("entity_type", F.lit("UNKNOWN")).alias("entity_type")).agg(F.count("*").alias("spans"))
 
 
-def totals(found: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """component, raw (spans), per_char (sum over documents with text of spans / length)."""
+def totals(found: DataFrame, docs: DataFrame, text_col: str = "text", empty: float = 0.0) -> DataFrame:
+    """component, raw (spans), per_char (sum over documents of spans / length, where an empty text's share is `empty`; null texts don't count)."""
     per_doc = found.groupBy("doc_id", "component").agg(F.count("*").alias("n")).join(docs.select("doc_id", F.length(text_col).alias("size")), "doc_id")
-    return per_doc.groupBy("component").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("size") > 0, F.col("n") / F.col("size")).otherwise(0.0)).alias("per_char"))
+    return per_doc.groupBy("component").agg(F.sum("n").alias("raw"), F.sum(F.when(F.col("size") > 0, F.col("n") / F.col("size")).when(F.col("size") == 0, F.lit(empty))).alias("per_char"))
 
 
 def nearest_rank(value: str, points: tuple[float, ...]) -> list[Column]:
