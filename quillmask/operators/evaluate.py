@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinds, spans
+from .dealing import dealt
 
 THRESHOLDS = (0.10, 0.25, 0.50, 0.75, 0.90)
 _SPAN = "struct<ord:int,start:int,stop:int,id:string>"
@@ -37,7 +38,7 @@ def paired(preds: DataFrame, golds: DataFrame) -> DataFrame:
     item = F.struct(F.col("ord").cast("int").alias("ord"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("id").cast("string").alias("id"))
     kind = F.coalesce(kinds.canonical(F.col("entity_type")), F.lit("UNKNOWN")).alias("entity_type")
     side = lambda rows, n: rows.select("scope", "doc_id", kind, F.lit(n).alias("side"), item.alias("s"))
-    both = side(preds, 0).unionByName(side(golds, 1))
+    both = dealt(side(preds, 0).unionByName(side(golds, 1)))
     of = lambda n: F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("s")))).cast(f"array<{_SPAN}>")
     return both.groupBy("scope", "doc_id", "entity_type").agg(of(0).alias("p"), of(1).alias("g"))
 
@@ -183,11 +184,17 @@ def summed(counts: DataFrame) -> DataFrame:
     return rows.select("scope", "variant", "entity_type", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
+def set_sides(preds: DataFrame, golds: DataFrame, key: tuple[str, ...] = ("doc_id", "start", "stop", "entity_type")) -> DataFrame:
+    """Every distinct key of either side, with p and g: whether that side has it. Nulls are equal."""
+    side = lambda rows, p: rows.select(*key, F.lit(p).alias("p"), F.lit(not p).alias("g"))
+    return dealt(side(preds, True).unionByName(side(golds, False))).groupBy(*key).agg(F.max("p").alias("p"), F.max("g").alias("g"))
+
+
 def exact_sets(preds: DataFrame, golds: DataFrame) -> DataFrame:
-    """doc_id, tp, fp, fn over distinct (start, stop, type name)."""
-    key = ["doc_id", "start", "stop", "entity_type"]
-    p, g = preds.select(*key).distinct(), golds.select(*key).distinct()
-    both = p.withColumn("p", F.lit(1)).join(g.withColumn("g", F.lit(1)), key, "full_outer")
-    return both.groupBy("doc_id").agg(
-        F.count(F.when(F.col("p").isNotNull() & F.col("g").isNotNull(), 1)).alias("tp"), F.count(F.when(F.col("g").isNull(), 1)).alias("fp"), F.count(F.when(F.col("p").isNull(), 1)).alias("fn")
-    )
+    """doc_id, tp, fp, fn over distinct (start, stop, type name); a key with a null equals none."""
+    both = set_sides(preds, golds)
+    known = F.lit(True)
+    for c in both.columns[:-2]:
+        known = known & F.col(c).isNotNull()
+    hit = F.col("p") & F.col("g") & known
+    return both.groupBy("doc_id").agg(F.count_if(hit).alias("tp"), F.count_if(F.col("p") & ~hit).alias("fp"), F.count_if(F.col("g") & ~hit).alias("fn"))
