@@ -206,10 +206,11 @@ def document_search_page(spark, d):
 
 @query(f"SELECT 'both' AS side, count(*) AS n FROM (SELECT doc_id, start, stop, entity_type FROM {C.duck(C.PREDS)} INTERSECT SELECT doc_id, start, stop, entity_type FROM {C.duck(C.GOLDS)}) UNION ALL SELECT 'predicted', count(*) FROM (SELECT doc_id, start, stop, entity_type FROM {C.duck(C.PREDS)} EXCEPT SELECT doc_id, start, stop, entity_type FROM {C.duck(C.GOLDS)}) UNION ALL SELECT 'gold', count(*) FROM (SELECT doc_id, start, stop, entity_type FROM {C.duck(C.GOLDS)} EXCEPT SELECT doc_id, start, stop, entity_type FROM {C.duck(C.PREDS)})")
 def span_set_operations(spark, d):
-    key = ["doc_id", "start", "stop", "entity_type"]
-    p, g = C.frame(spark, d, C.PREDS).select(*key), C.frame(spark, d, C.GOLDS).select(*key)
-    count = lambda rows, side: rows.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
-    return count(p.intersect(g), "both").unionByName(count(p.subtract(g), "predicted")).unionByName(count(g.subtract(p), "gold"))
+    sides = evaluate.set_sides(C.frame(spark, d, C.PREDS), C.frame(spark, d, C.GOLDS))
+    side = F.when(F.col("p") & F.col("g"), "both").when(F.col("p"), "predicted").otherwise("gold")
+    counts = sides.groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+    names = spark.createDataFrame([("both",), ("predicted",), ("gold",)], "side string")
+    return F.broadcast(names).join(counts, "side", "left").select("side", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"SELECT DISTINCT run_id, entity_type FROM ({_MULTI})")
