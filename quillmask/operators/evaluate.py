@@ -7,9 +7,12 @@ greedily or by an optimal assignment, so that ids only have to agree up to renam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +36,20 @@ def scoped(preds: DataFrame, golds: DataFrame, component_types: DataFrame | None
     return p.withColumnRenamed("component", "scope"), g.withColumnRenamed("component", "scope")
 
 
-def paired(preds: DataFrame, golds: DataFrame) -> DataFrame:
-    """scope, doc_id, entity_type, p, g: arrays in order. preds and golds have scope."""
+def paired(preds: DataFrame, golds: DataFrame, component_types: DataFrame | None = None) -> DataFrame:
+    """scope, doc_id, entity_type, p, g: arrays in order. preds and golds have scope.
+
+    With component_types, preds have component and golds neither: scopes are as scoped() makes them, but after the shuffle, which then holds every gold once.
+    """
+    if component_types is not None:
+        preds, golds = preds.withColumnRenamed("component", "scope"), golds.withColumn("scope", F.lit(None).cast("string"))
     item = F.struct(F.col("ord").cast("int").alias("ord"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("id").cast("string").alias("id"))
     kind = F.coalesce(kinds.canonical(F.col("entity_type")), F.lit("UNKNOWN")).alias("entity_type")
     side = lambda rows, n: rows.select("scope", "doc_id", kind, F.lit(n).alias("side"), item.alias("s"))
     both = dealt(side(preds, 0).unionByName(side(golds, 1)))
+    if component_types is not None:
+        types = component_types.select(F.col("component").alias("_c"), F.col("entity_type").alias("_t")).distinct()
+        both = both.join(F.broadcast(types), (F.col("entity_type") == F.col("_t")) & ((F.col("side") == 1) | (F.col("scope") == F.col("_c")))).withColumn("scope", F.col("_c"))
     of = lambda n: F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("s")))).cast(f"array<{_SPAN}>")
     return both.groupBy("scope", "doc_id", "entity_type").agg(of(0).alias("p"), of(1).alias("g"))
 
@@ -110,27 +121,33 @@ def assignment(cost: list[list[float]]) -> list[tuple[int, int]]:
 
 
 def _iou(a, b) -> float:
-    shared = min(a["stop"], b["stop"]) - max(a["start"], b["start"])
-    union = a["stop"] - a["start"] + b["stop"] - b["start"] - shared
+    shared = min(a[1], b[1]) - max(a[0], b[0])
+    union = a[1] - a[0] + b[1] - b[0] - shared
     return shared / union if shared > 0 and union > 0 else 0.0
 
 
-def by_id_matches(p: list, g: list, threshold: float | None, optimal: bool) -> int:
-    fits = lambda a, b: (a["start"], a["stop"]) == (b["start"], b["stop"]) if threshold is None else _iou(a, b) >= threshold
+def by_id_matches(p: Sequence[tuple], g: Sequence[tuple], threshold: float | None, optimal: bool) -> int:
+    """Matches of one document and type; spans are (start, stop, id)."""
+    if not p or not g:
+        return 0
     clusters: list[dict[str, list]] = [{}, {}]
     for side, rows in zip(clusters, (p, g), strict=True):
-        for s in rows:
-            if s["id"] is not None:
-                side.setdefault(s["id"], []).append(s)
+        for k, s in enumerate(rows):
+            if s[2] is not None:
+                side.setdefault(s[2], []).append(k)
+    if threshold is None:
+        near = lambda a, b: 1.0 if a[:2] == b[:2] else None
+    else:
+        near = lambda a, b: d if (d := _iou(a, b)) >= threshold else None
     mine, theirs = (list(c) for c in clusters)
-    score = [[sum(fits(a, b) for a in clusters[0][x] for b in clusters[1][y]) for y in theirs] for x in mine]
+    score = [[sum(near(p[a], g[b]) is not None for a in clusters[0][x] for b in clusters[1][y]) for y in theirs] for x in mine]
     mapping: dict[str, str] = {}
     if optimal:
         if mine and theirs:
             found = assignment([[-s if s else _ABSENT for s in row] for row in score])
             mapping = {mine[i]: theirs[j] for i, j in found if score[i][j]}
     else:
-        first = {y: min(b["start"] for b in clusters[1][y]) for y in theirs}
+        first = {y: min(g[b][0] for b in clusters[1][y]) for y in theirs}
         ranked = sorted(((-s, first[theirs[j]], i, j) for i, row in enumerate(score) for j, s in enumerate(row) if s), key=lambda c: c[:2])
         taken: set[str] = set()
         for _, _, i, j in ranked:
@@ -139,28 +156,36 @@ def by_id_matches(p: list, g: list, threshold: float | None, optimal: bool) -> i
                 taken.add(theirs[j])
     used: set[int] = set()
     for a in p:
-        goal = mapping.get(a["id"]) if a["id"] is not None else None
+        goal = mapping.get(a[2]) if a[2] is not None else None
         if goal is None:
             continue
-        free = [(-1.0 if threshold is None else -_iou(a, b), j) for j, b in enumerate(g) if j not in used and b["id"] == goal and fits(a, b)]
+        free = [(-d, b) for b in clusters[1][goal] if b not in used and (d := near(a, g[b])) is not None]
         if free:
             used.add(min(free)[1])
     return len(used)
 
 
+def _rows(column: pa.ListArray) -> list[tuple]:
+    """The spans of each row of a batch as tuples (start, stop, id); only plain lists of numbers and ids are made of the batch."""
+    flat, at = column.flatten(), column.offsets.to_pylist()
+    rows = list(zip(*(pc.struct_field(flat, n).to_pylist() for n in ("start", "stop", "id")), strict=True))
+    return [tuple(rows[a - at[0] : b - at[0]]) for a, b in pairwise(at)]
+
+
 def counted_by_id(pairs: DataFrame, variant: str, threshold: float | None, optimal: bool = False) -> DataFrame:
-    """Like counted(), with agreeing ids; the id assignment of one document and type is made in a worker."""
+    """Like counted(), with agreeing ids; the id assignment of one document and type is made in a worker, once for short lists that come again."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(1 << 14)(lambda p, g: by_id_matches(p, g, threshold, optimal))
         for part in it:
-            tp = [by_id_matches(list(p), list(g), threshold, optimal) for p, g in zip(part["p"], part["g"], strict=True)]
-            out = part[["scope", "doc_id", "entity_type"]].assign(tp=tp)
-            out["fp"] = [len(p) - n for p, n in zip(part["p"], tp, strict=True)]
-            out["fn"] = [len(g) - n for g, n in zip(part["g"], tp, strict=True)]
-            yield out
+            both = [(p, g) for p, g in zip(_rows(part.column("p")), _rows(part.column("g")), strict=True)]
+            tp = [known(p, g) if len(p) + len(g) <= 16 else by_id_matches(p, g, threshold, optimal) for p, g in both]
+            counts = (tp, [len(p) - n for (p, _), n in zip(both, tp, strict=True)], [len(g) - n for (_, g), n in zip(both, tp, strict=True)])
+            keys = ["scope", "doc_id", "entity_type"]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in counts)], names=[*keys, "tp", "fp", "fn"])
 
     kind = pairs.schema["doc_id"].dataType.simpleString()
-    rows = pairs.mapInPandas(run, f"scope string, doc_id {kind}, entity_type string, tp long, fp long, fn long")
+    rows = pairs.mapInArrow(run, f"scope string, doc_id {kind}, entity_type string, tp long, fp long, fn long")
     return rows.select("scope", "doc_id", F.lit(variant).alias("variant"), "entity_type", "tp", "fp", "fn")
 
 
