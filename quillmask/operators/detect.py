@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import checksums, kinds, patterns, spans
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 SPANS = "doc_id {id}, component string, comp_idx int, det_idx int, start int, stop int, entity_type string, id string, replacement string, confidence double"
 
 
@@ -55,14 +58,33 @@ def char_chunks(text: str, limit: int) -> list[tuple[int, str]]:
 
 
 def char_chunked(docs: DataFrame, limit: int = 4000, id_type: str = "long") -> DataFrame:
-    """doc_id, chunk, start, piece of every document; a chunk's start depends on where the one before was cut, so a text is walked in order."""
+    """doc_id, chunk, start, piece of every document; a chunk's start depends on where the one before was cut, so a text is walked in order.
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in it:
-            rows = [(d, n, start, piece) for d, t in zip(part["doc_id"], part["text"], strict=True) for n, (start, piece) in enumerate(char_chunks(t or "", limit))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "start", "piece"])
+    A worker holds one batch of texts, at most 4 MB or one text if the session has no bound of its own, and as much of their pieces.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH) == SPARKS_OWN:
+        conf.set(BATCH, "4m")
+    names = ["doc_id", "chunk", "start", "piece"]
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, chunk int, start int, piece string")
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in it:
+            out, size = [], 0
+            for d, t in zip(part.column("doc_id"), part.column("text"), strict=True):
+                for n, (start, piece) in enumerate(char_chunks(t.as_py() or "", limit)):
+                    out.append((d.as_py(), n, start, piece))
+                    size += len(piece)
+                    if size >= 2**22:
+                        yield batch(out, part)
+                        out, size = [], 0
+            if out:
+                yield batch(out, part)
+
+    def batch(rows: list[tuple], part: pa.RecordBatch) -> pa.RecordBatch:
+        kinds = (part.column("doc_id").type, pa.int32(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").mapInArrow(run, f"doc_id {id_type}, chunk int, start int, piece string")
 
 
 def shifted(found: DataFrame, chunks: DataFrame) -> DataFrame:
