@@ -43,14 +43,14 @@ def paired(preds: DataFrame, golds: DataFrame, component_types: DataFrame | None
     """
     if component_types is not None:
         preds, golds = preds.withColumnRenamed("component", "scope"), golds.withColumn("scope", F.lit(None).cast("string"))
-    item = F.struct(F.col("ord").cast("int").alias("ord"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("id").cast("string").alias("id"))
+    fields = [F.col(c).cast(t).alias(c) for c, t in (("ord", "int"), ("start", "int"), ("stop", "int"), ("id", "string"))]
     kind = F.coalesce(kinds.canonical(F.col("entity_type")), F.lit("UNKNOWN")).alias("entity_type")
-    side = lambda rows, n: rows.select("scope", "doc_id", kind, F.lit(n).alias("side"), item.alias("s"))
+    side = lambda rows, n: rows.select("scope", "doc_id", kind, F.lit(n).alias("side"), *fields)
     both = dealt(side(preds, 0).unionByName(side(golds, 1)))
     if component_types is not None:
         types = component_types.select(F.col("component").alias("_c"), F.col("entity_type").alias("_t")).distinct()
         both = both.join(F.broadcast(types), (F.col("entity_type") == F.col("_t")) & ((F.col("side") == 1) | (F.col("scope") == F.col("_c")))).withColumn("scope", F.col("_c"))
-    of = lambda n: F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("s")))).cast(f"array<{_SPAN}>")
+    of = lambda n: F.array_sort(F.collect_list(F.when(F.col("side") == n, F.struct("ord", "start", "stop", "id")))).cast(f"array<{_SPAN}>")
     return both.groupBy("scope", "doc_id", "entity_type").agg(of(0).alias("p"), of(1).alias("g"))
 
 
