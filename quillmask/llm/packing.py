@@ -31,6 +31,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from string import punctuation
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._base import ship, spread, stored, texts
-from ._words import MARK, numbered, words_of
+from ._words import numbered, words_of
 from .bpe import byte_letters
 
 MARKS = np.isin(np.arange(256), list(punctuation.encode()))
@@ -47,6 +48,60 @@ LETTERS = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"))
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Known:
+    """Ids of words under the words' hashes: an open table of entries, whose ids lie one after another. Entry 0 stands for none; entry 1 is no word's and one id long."""
+
+    def __init__(self, kind: np.dtype, slots: int = 1 << 16):
+        self.keys, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+        self.start, self.ids = np.array([0, 0, 1], np.int64), np.zeros(1, kind)
+        self.n = 2
+
+    def __len__(self) -> int:
+        return self.n
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Of each hash its entry."""
+        last = len(self.keys) - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        out = self.entry[at]
+        off = np.flatnonzero((self.keys[at] != hashes) & (out > 0))
+        while len(off):  # to the next slot, until the hash or an empty one is found
+            at[off] = (at[off] + 1) & last
+            out[off] = self.entry[at[off]]
+            off = off[(self.keys[at[off]] != hashes[off]) & (out[off] > 0)]
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Distinct hashes that have no entry yet get the next ones."""
+        n, used = self.n + len(hashes), int(self.start[self.n])
+        self.start, self.ids = _roomy(self.start, n + 1), _roomy(self.ids, used + len(ids))
+        self.start[self.n + 1 : n + 1] = used + np.cumsum(size)
+        self.ids[used : used + len(ids)] = ids
+        if 4 * n > 3 * len(self.keys):
+            keys, entry = self.keys, self.entry
+            slots = 1 << (2 * n).bit_length()
+            self.keys, self.entry = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+            own = np.flatnonzero(entry)
+            self._put(keys[own], entry[own])
+        self._put(hashes, np.arange(self.n, n, dtype=np.int32))
+        self.n = n
+
+    def _put(self, hashes: np.ndarray, own: np.ndarray) -> None:
+        last = len(self.keys) - 1
+        at = (hashes & np.uint64(last)).astype(np.int64)
+        while len(own):  # of those that come to one empty slot one takes it; the others go to the next slot
+            free = self.entry[at] == 0
+            self.entry[at[free]] = own[free]
+            got = self.entry[at] == own
+            self.keys[at[got]] = hashes[got]
+            hashes, own, at = hashes[~got], own[~got], (at[~got] + 1) & last
+
+
+def _roomy(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or a copy with room for more than n at its end."""
+    return x if n <= len(x) else np.r_[x, np.zeros(n + n // 4 - len(x), x.dtype)]
+
+
 class Merges:
     """Byte-pair encoding of many words at once: rows of symbols of one length make their best merge together and go on as rows one shorter."""
 
@@ -55,30 +110,42 @@ class Merges:
     def __init__(self, model: dict, kind: np.dtype):
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        key = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
-        self.keys, rank = np.unique(key, return_index=True)
-        self.rank, self.made = rank.astype(np.int32), np.array([vocab[a + b] for a, b in merges], np.int64)
+        pairs = dict.fromkeys((vocab[a], vocab[b], vocab[a + b]) for a, b in merges)
+        a, b, made = np.array([*pairs], np.int32).reshape(-1, 3).T
+        self.known, self.made = Known(kind, 1 << (4 * len(made)).bit_length()), np.r_[np.int32(0), np.int32(0), made]
+        self.known.add(self.keys(a, b), made[:0], np.zeros(len(made), np.int64))  # entries are ranks
         letters = byte_letters()
-        self.inner, self.last = (np.array([vocab[letters[b] + x] for b in range(256)], np.int64) for x in ("", suffix))
+        self.inner, self.last = (np.array([vocab[letters[b] + x] for b in range(256)], np.int32) for x in ("", suffix))
+        # Ranks of two bytes inside a word, and of a word's last two.
+        self.early, self.late = (self.ranks(np.repeat(self.inner, 256), np.tile(x, 256)) for x in (self.inner, self.last))
         self.kind = kind
 
+    @staticmethod
+    def keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Another number for each pair, its low bits well mixed."""
+        out = (a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return out ^ out >> np.uint64(32)
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], self.NONE)
+        out = self.known.find(self.keys(a, b))
+        out[out == 0] = self.NONE
+        return out
 
     def encode(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of words (a first byte and a number of bytes, not 0) the ids one after another, and how many each has."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        own, symbols, ranks = np.empty(0, np.int64), np.empty((0, 0), np.int64), np.empty((0, 0), np.int32)
+        own, symbols, ranks = np.empty(0, np.int64), np.empty((0, 0), np.int32), np.empty((0, 0), np.int32)
         for n in range(int(size.max(initial=0)), 0, -1):
             fresh = np.flatnonzero(size == n)
             raw = data[start[fresh, None] + np.arange(n)]
             more = self.inner[raw]
             more[:, -1] = self.last[raw[:, -1]]
+            two = raw[:, :-1] * np.int32(256) + raw[:, 1:]
+            early = self.early[two]
+            early[:, -1:] = self.late[two[:, -1:]]
             if not len(own):
-                symbols, ranks = np.empty((0, n), np.int64), np.empty((0, n - 1), np.int32)
-            own, symbols, ranks = np.r_[own, fresh], np.vstack([symbols, more]), np.vstack([ranks, self.ranks(more[:, :-1], more[:, 1:])])
+                symbols, ranks = np.empty((0, n), np.int32), np.empty((0, n - 1), np.int32)
+            own, symbols, ranks = np.r_[own, fresh], np.vstack([symbols, more]), np.vstack([ranks, early])
             if not len(own):
                 continue
             if n == 1:
@@ -120,14 +187,16 @@ def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
 class Words:
     """Ids of white-space separated words, which a tokenizer without context across spaces encodes each alone.
 
-    A word of Latin letters, perhaps with ASCII punctuation after it, is one or two pre-tokens: a batch's distinct ones come straight from the model's
-    merges, all at once. All other words go through the whole tokenizer and are remembered, a bounded number of them.
+    Words are known by 64-bit hashes and remembered from batch to batch, a bounded number of them. Of new ones, a word of Latin letters, perhaps with ASCII
+    punctuation after it, is one or two pre-tokens: a batch's distinct ones come straight from the model's merges, all at once. All other words go through the
+    whole tokenizer.
     """
 
     #: Longer words aren't encoded many at once, so that a few can't fill the memory.
     LONGEST = 64
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 300_000, most: int = 1_250_000):
+        """remember: other words and marks that are kept as objects; most: words, and eight times as many ids, beyond which those known are forgotten."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -135,9 +204,10 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.remember = remember
+        self.remember, self.most = remember, most
         self.merges = Merges(json.loads(self.tokenizer.to_str())["model"], self.kind)
         self.known: dict[bytes, bytes | None] = {}
+        self.seen = Known(self.kind)
 
     def packed(self, ids: list[int]) -> bytes:
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
@@ -157,8 +227,8 @@ class Words:
         low = text.lower()  # of a capital whose small form is a letter and a mark, no letters are left alone
         return low.encode() if low.isalpha() else None
 
-    def distinct(self, words: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of units one after another, where each begins, and of each word its two units (the second is often empty)."""
+    def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
         n = len(words)
         edges = np.frombuffer(words.buffers()[1], np.int32, n + 1).astype(np.int64)
         data = np.frombuffer(words.buffers()[2], np.uint8) if edges[-1] else np.empty(0, np.uint8)
@@ -190,26 +260,36 @@ class Words:
         rest = np.ones(n, bool)
         rest[bulk] = False
         rest = np.flatnonzero(rest)
-        others = [self.packed([end]) if x == MARK else self.other(x) for x in words.take(pa.array(rest)).to_pylist()]
+        others = map(self.other, words.take(pa.array(rest)).to_pylist())
         more = [*map(self.other, marks.dictionary.to_pylist()), *others, b""]
         sizes = np.r_[count, np.fromiter(map(len, more), np.int64, len(more)) // self.kind.itemsize]
         first, second = np.full(n, len(sizes) - 1), np.full(n, len(sizes) - 1)
         first[bulk] = source.indices.to_numpy()
         first[rest] = len(count) + len(marks.dictionary) + np.arange(len(rest))
         second[marked] = len(count) + marks.indices.to_numpy()
-        return np.r_[ids, np.frombuffer(b"".join(more), self.kind)], np.r_[0, np.cumsum(sizes)], first, second
+        both = np.column_stack([first, second]).ravel()  # the second is often empty
+        ids = np.r_[ids, np.frombuffer(b"".join(more), self.kind)][_spread_out((np.cumsum(sizes) - sizes)[both], sizes[both])]
+        return ids, sizes[first] + sizes[second]
 
     def encode(self, batch: pa.Array, end: int) -> tuple[np.ndarray, pa.Array]:
-        """Of each text its number of ids, and its ids as bytes, with the end; each distinct word of the batch is looked up once."""
+        """Of each text its number of ids, and its ids as bytes, with the end."""
         if len(self.known) > self.remember:
             self.known.clear()
+        if len(self.seen) > self.most or len(self.seen.ids) > 8 * self.most:
+            self.seen = Known(self.kind)
         w = words_of(batch)
-        first, number = numbered(w.hash)
-        ids, edges, *units = self.distinct(w.bytes_of(first), end)
-        both = np.column_stack([x[number] for x in units]).ravel()
-        size = np.diff(edges)[both]
-        n = np.diff(np.r_[0, np.cumsum(size)[2 * w.marks + 1]])
-        return n, _binary(ids[_spread_out(edges[both], size)].view(np.uint8), n * self.kind.itemsize)
+        entry = self.seen.find(w.hash)
+        entry[w.marks] = 1
+        new = np.flatnonzero(entry == 0)
+        if len(new):
+            first, number = numbered(w.hash[new])
+            entry[new] = len(self.seen) + number
+            self.seen.add(w.hash[new[first]], *self.distinct(w.bytes_of(new[first])))
+        self.seen.ids[0] = end
+        start = self.seen.start[entry]
+        size = self.seen.start[entry + 1] - start
+        n = np.diff(np.r_[0, np.cumsum(size)[w.marks]])
+        return n, _binary(self.seen.ids[_spread_out(start, size)].view(np.uint8), n * self.kind.itemsize)
 
 
 @lru_cache(maxsize=2)
@@ -232,11 +312,12 @@ class Shard:
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / mean))
         order = np.argsort(term, kind="stable")
         self.postings, self.weights, self.first = doc[order].astype(np.int32), weight[order].astype(np.float32), np.concatenate([[0], np.cumsum(df)])
-        # Terms of many documents as rows with a weight for each document, which add up faster than postings; no more than 2 entries a posting.
-        many = np.flatnonzero(2 * df > self.n)
+        # Terms of many documents as rows with a weight for each document, which add up faster than postings; no more than 8 entries a posting, and 32 MB.
+        many = np.flatnonzero(8 * df > self.n)
+        many = many[np.argsort(-df[many], kind="stable")[: (1 << 22) // self.n]]
         self.row = np.full(top, -1)
         self.row[many] = np.arange(len(many))
-        self.rows = np.zeros((len(many), self.n), np.float32)
+        self.rows = np.zeros((len(many), self.n))
         for r, t in enumerate(many):
             own = slice(self.first[t], self.first[t + 1])
             self.rows[r, self.postings[own]] = self.weights[own]
@@ -244,14 +325,13 @@ class Shard:
         self.query = np.split(term[shared].astype(np.int32), np.searchsorted(doc[shared], np.arange(1, self.n)))
 
     def scores(self, seed: int) -> np.ndarray:
-        out = np.zeros(self.n, np.float32)
+        out = np.zeros(self.n)
         rows = self.row[self.query[seed]]
         for r in rows[rows >= 0]:
             out += self.rows[r]
-        parts = [slice(self.first[t], self.first[t + 1]) for t in self.query[seed][rows < 0]]
-        if not parts:
-            return out.astype(float)
-        return out + np.bincount(np.concatenate([self.postings[p] for p in parts]), np.concatenate([self.weights[p] for p in parts]), self.n)
+        few = self.query[seed][rows < 0]
+        at = _spread_out(self.first[few], self.first[few + 1] - self.first[few])
+        return out + np.bincount(self.postings[at], self.weights[at], self.n)
 
 
 def windows(docs: list[np.ndarray], size: int, corpus: tuple[np.ndarray, float] | None = None) -> Iterator[list[tuple[int, int, int]]]:
@@ -311,6 +391,13 @@ def windows(docs: list[np.ndarray], size: int, corpus: tuple[np.ndarray, float]
         yield window
 
 
+def _documents(ids: pa.Array, kind: str) -> list[np.ndarray]:
+    """Views of the ids of each document."""
+    edges = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset) // np.dtype(kind).itemsize if len(ids) else np.zeros(1, np.int32)
+    flat = np.frombuffer(ids.buffers()[2], kind, edges[-1]) if edges[-1] else np.empty(0, kind)
+    return [flat[a:b] for a, b in pairwise(edges.tolist())]
+
+
 def _packer(size: int, most_tokens: int, kind: str, corpus):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
@@ -337,13 +424,13 @@ def _packer(size: int, most_tokens: int, kind: str, corpus):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for b in it:
-            for d, k, x in zip(b.column("doc_id").to_pylist(), b.column("shard").to_pylist(), b.column("ids"), strict=True):
+            for d, k, x in zip(b.column("doc_id").to_pylist(), b.column("shard").to_pylist(), _documents(b.column("ids"), kind), strict=True):
                 if docs and (k != shard or held >= most_tokens):
                     yield from out()
                     ids, docs, held = [], [], 0
                 if k != shard:
                     shard, sequence = k, k << 32
-                ids.append(d), docs.append(np.frombuffer(x.as_buffer(), kind))
+                ids.append(d), docs.append(x)
                 held += len(docs[-1])
         if docs:
             yield from out()
@@ -355,11 +442,12 @@ def _frequencies(kind: str, terms: int):
     """Rows (term, df) of some documents, and (-1, their number), (-2, their tokens)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, tokens = np.zeros(terms, np.int64), 0, 0
+        df, n, tokens, last = np.zeros(terms, np.int64), 0, 0, np.zeros(terms, np.int64)
         for b in it:
-            for x in b.column("ids"):
-                ids = np.frombuffer(x.as_buffer(), kind)
-                df[np.unique(ids)] += 1
+            for ids in _documents(b.column("ids"), kind):
+                place = np.arange(len(ids))
+                last[ids] = place  # of several equal ids one is the last
+                df[ids[last[ids] == place]] += 1
                 n, tokens = n + 1, tokens + len(ids)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1, -2]), pa.array(np.r_[df[some], n, tokens])], names=["term", "df"])

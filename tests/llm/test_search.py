@@ -269,6 +269,36 @@ def test_packing_encodes_as_the_tokenizer_does(spark):
     assert [np.frombuffer(x, words.kind).tolist() for x in ids.to_pylist()] == want
 
 
+def test_packing_remembers_words_from_batch_to_batch():
+    path = catalog.vocabulary("word_bpe_49k.json")
+    words, made = packing.Words(path, most=3000), []
+    inner = words.merges.encode
+    words.merges.encode = lambda data, start, size: made.append(len(size)) or inner(data, start, size)
+    text = pa.array([prose(1, 200) + " 12,5 Ärger! 你好 ...", "", prose(2, 200)])
+    first = [words.encode(text, end) for end in (1, 7)]
+    assert made[0] > 100 and sum(made[1:]) == 0  # words seen before aren't encoded again
+    a, b = ([np.frombuffer(x, words.kind) for x in ids.to_pylist()] for _, ids in first)
+    assert all(np.array_equal(x[:-1], y[:-1]) and (x[-1], y[-1]) == (1, 7) for x, y in zip(a, b, strict=True))
+    r = random.Random(4)
+    for _ in range(6):  # more words than are kept: forgotten ones are encoded anew, and the ids stay right
+        more = pa.array([" ".join("".join(r.choice("abcdeé,") for _ in range(r.randrange(1, 9))) for _ in range(1500)), prose(1, 200)])
+        got, want = words.encode(more, 1), packing.Words(path).encode(more, 1)
+        assert np.array_equal(got[0], want[0]) and got[1].equals(want[1])
+    assert len(words.seen) < 3000 + 2500
+
+
+def test_packing_finds_hashes_that_share_a_slot():
+    known = packing.Known(np.dtype("<u2"), 8)
+    hashes = np.array([0, 8, 16, 1, 24, *(x << 20 for x in range(1, 300))], np.uint64)
+    for part in (hashes[:3], hashes[3:100], hashes[100:]):
+        assert not known.find(part).any()
+        known.add(part, np.repeat(part >> np.uint64(20), 2).astype("<u2"), np.full(len(part), 2))
+    entry = known.find(hashes)
+    assert entry.tolist() == list(range(2, len(hashes) + 2)) and len(known) < len(known.keys)
+    assert np.array_equal(known.ids[known.start[entry] + 1], hashes >> np.uint64(20)) and (np.diff(known.start)[entry] == 2).all()
+    assert not known.find(np.array([32, 5, 301 << 20], np.uint64)).any()
+
+
 def test_packing_deals_by_content_and_not_by_partitions(spark):
     path = catalog.vocabulary("word_bpe_49k.json")
     docs = [(i, prose(i // 2, 400)) for i in range(60)] + [(100 + i, prose(5, 400)) for i in range(40)]  # pairs, and a group of copies
